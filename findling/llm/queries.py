@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from findling.llm import mails as M, mojibake as J, splitting as S
+from findling.llm import mails as M, mojibake as J, packing as K, quality as Q, splitting as S
 from findling.session import table
 
 QUERIES: dict = {}
@@ -65,3 +65,31 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p7_restored(spark: SparkSession, sf: str) -> DataFrame:
     return J.restore_fields(table(spark, sf, "mails"), "mail_id", ["body", "subject", "sender"]).where("damaged")
+
+
+# 8: filling containers
+
+
+@query
+def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in containers of 2,048 tokens."""
+    return K.pack(table(spark, sf, "documents"))
+
+
+# 10: statistics and structural forms of texts
+
+
+def _statistics(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    return Q.text_statistics(documents, Q.fit_profiles(documents, table(spark, sf, "labels")))
+
+
+@query
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents less than half of which is natural prose, with what the rest mainly is."""
+    return _statistics(spark, sf).where("form <> 'prose'").select("doc_id", "form").distinct()
+
+
+@query
+def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return _statistics(spark, sf)
