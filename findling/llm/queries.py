@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from findling.llm import mails as M, mojibake as J, packing as K, quality as Q, splitting as S
+from findling.llm import leakage as L, mails as M, mojibake as J, packing as K, quality as Q, splitting as S
 from findling.session import table
 
 QUERIES: dict = {}
@@ -93,3 +93,21 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return _statistics(spark, sf)
+
+
+# 9: evaluation items in documents
+
+
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return L.find_leaks(table(spark, sf, "documents"), table(spark, sf, "evalset"))
+
+
+@query
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold the text of an item, wholly or partly."""
+    return _leaks(spark, sf).where("kind = 'copy'").select("doc_id", "item_id").distinct()
+
+
+@query
+def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf)
