@@ -158,13 +158,38 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[float, int, int, int, int,
     return best, i, ei, j, ej, matches
 
 
+def dense_regions(doc: np.ndarray, inside: np.ndarray, width: int = 12, least: int = 5) -> np.ndarray:
+    """The document's words near ``width`` words of which ``least`` are the item's; the rest is one break each.
+
+    A piece that scores 4 with one off for every word that differs holds such a place, so none is lost.
+    """
+    n = len(doc)
+    c = np.concatenate([[0], np.cumsum(inside)])
+    at = np.arange(n)
+    full = c[np.minimum(at + width, n)] - c[at] >= min(least, max(1, n // 2))
+    d = np.zeros(n + 1, np.int64)
+    hit = np.flatnonzero(full)
+    np.add.at(d, np.maximum(hit - width, 0), 1)
+    np.add.at(d, np.minimum(hit + 2 * width, n), -1)
+    keep = np.cumsum(d[:-1]) > 0
+    out = np.where(keep, doc, -2)
+    return out[keep | np.concatenate([[False], keep[:-1]])]
+
+
 def held(item: np.ndarray, doc: np.ndarray, least: float = PARAPHRASE) -> tuple[float, float, float, int]:
-    """(net, span, matched, pieces): shares of the item's words in up to two pieces, in any order of the two."""
+    """(net, span, matched, pieces): shares of the item's words in up to two pieces, in any order of the two.
+
+    All 0 where the words in dense places, in whatever order, are fewer than ``least`` of the item's.
+    """
     n = len(item)
-    # what the document could match at most, before anything is aligned
+    if not n or not len(doc):
+        return 0.0, 0.0, 0.0, 0
     distinct, need = np.unique(item, return_counts=True)
-    there = np.bincount(np.searchsorted(distinct, doc[np.isin(doc, distinct)]), minlength=len(distinct)) if n else np.zeros(0)
-    if not n or np.minimum(need, there).sum() < least * n:
+    at = np.minimum(np.searchsorted(distinct, doc), len(distinct) - 1)
+    doc = dense_regions(doc, distinct[at] == doc)
+    at = np.minimum(np.searchsorted(distinct, doc), len(distinct) - 1)
+    there = np.bincount(at[distinct[at] == doc], minlength=len(distinct))
+    if np.minimum(need, there).sum() < least * n:
         return 0.0, 0.0, 0.0, 0
     score, a, b, c, d, matches = align(item, doc)
     net, span, hit, count = score, b - a, matches, 1
@@ -296,8 +321,8 @@ def find_leaks(
             out: list[list] = [[] for _ in range(9)]
             keys = part.column(0).to_pylist()
             for (d, k), s in sorted(pairs.items()):
-                net, span, matched, n = held(terms.items[k], ids[d])
                 answered = bool(len(terms.answers[k])) and bool(np.isin(terms.answers[k], ids[d]).all())
+                net, span, matched, n = held(terms.items[k], ids[d], PARAPHRASE if answered else NET)
                 copy = net >= NET and span >= SPAN
                 if copy or (net >= PARAPHRASE and answered):
                     for c, v in zip(out, (keys[d], terms.item_ids[k], s, net, span, matched, n, answered, "copy" if copy else "paraphrase")):

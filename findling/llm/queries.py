@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from findling.llm import leakage as L, mails as M, mojibake as J, packing as K, quality as Q, splitting as S
+from findling.llm import leakage as L, mails as M, mojibake as J, neighbours as N, packing as K, quality as Q, splitting as S
 from findling.session import table
 
 QUERIES: dict = {}
@@ -111,3 +111,17 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return _leaks(spark, sf)
+
+
+# 4: most similar vectors
+
+
+@query
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of files of which one is among the five most similar of the other."""
+    return N.neighbour_pairs(N.similar_files(table(spark, sf, "layout")))
+
+
+@query
+def p4_similar(spark: SparkSession, sf: str) -> DataFrame:
+    return N.similar_files(table(spark, sf, "layout"))
