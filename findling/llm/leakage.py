@@ -10,7 +10,7 @@
    the small matrix whose eigenvectors turn the basis into singular vectors. What leaves a task is
    terms x dimensions numbers, bounded by the items and a parameter, not by the corpus.
 4. Passages and items are compared by cosine in the latent space; documents with a passage above the
-   threshold are candidates of the item.
+   threshold, and not far below it in the full term space, are candidates of the item.
 5. A candidate is checked by alignment: the longest common subsequence in up to two dense pieces, with
    substitutions, insertions and gaps costing one. Copies hold at least about half of the item's words so;
    weaker alignments count as paraphrases where the item's answer stands in the document, too.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from findling.session import bounded, stored
 
-WINDOW, DIMENSIONS, OVERSAMPLING, COSINE = 56, 112, 16, 0.62
+WINDOW, DIMENSIONS, OVERSAMPLING, COSINE, EXACT = 56, 112, 16, 0.64, 0.40
 #: An item counts as held from these shares of its words on (net of what differs; spanned by the pieces).
 NET, SPAN, PARAPHRASE = 0.36, 0.465, 0.25
 COMMON = 0.1
@@ -316,6 +316,8 @@ def find_leaks(
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
                 sim = x @ latent.T
                 for r, k in np.argwhere(sim >= cosine):
+                    if float(m[r] @ item_rows[k]) < EXACT:
+                        continue
                     pair = (int(doc_of[first + r]), int(k))
                     pairs[pair] = max(pairs.get(pair, 0.0), float(sim[r, k]))
             out: list[list] = [[] for _ in range(9)]
