@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from findling.llm import leakage as L, mails as M, mojibake as J, neighbours as N, packing as K, quality as Q, splitting as S
+from findling.llm import duplicates as D, leakage as L, mails as M, mojibake as J, neighbours as N, packing as K, quality as Q, splitting as S
 from findling.session import table
 
 QUERIES: dict = {}
@@ -125,3 +125,22 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p4_similar(spark: SparkSession, sf: str) -> DataFrame:
     return N.similar_files(table(spark, sf, "layout"))
+
+
+# 6: near-duplicates
+
+
+@query
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of files whose vectors, or whose names, are copies or lightly changed versions."""
+    out = []
+    for basis, (members, links) in (("vector", D.vector_classes(table(spark, sf, "layout"))), ("path", D.name_classes(table(spark, sf, "files")))):
+        pairs = D.expand(members, links)
+        out.append(pairs.select(F.lit(basis).alias("basis"), F.col("a").alias("file_a"), F.col("b").alias("file_b")))
+    return out[0].unionByName(out[1]).distinct()
+
+
+@query
+def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Every file's group by name, with its number of partners."""
+    return D.grouped(*D.name_classes(table(spark, sf, "files"))).withColumnRenamed("id", "file_id")
