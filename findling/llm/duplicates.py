@@ -166,7 +166,8 @@ MAYBE = frozenset("final old alt neu new draft firmado firmada definitiv".split(
 #: Small words of "copy of" in four languages.
 OF = {"copy": "of", "copie": "de", "copia": "de", "kopie": "von"}
 EXTENSION = re.compile(r"\.[A-Za-z][A-Za-z0-9]{0,4}$")
-COUNTER = re.compile(r"(?:[\s_-]*\(\d{1,3}\)|[\s_.-]+v\d{1,3})+$", re.I)
+#: What is put behind a name to tell copies and versions apart.
+BEHIND = re.compile(r"(?:[\s_-]*\(\d{1,3}\)|[\s_.-]+[vV]\d{1,3}|\s-\s(?:[Cc]op(?:y|ie|ia)|[Kk]opie)|_(?:old|alt|neu|new|final|definitiv|korr|scan|signed|draft|copy|kopie|copie|copia)| (?:FINAL|OLD|NEW|NEU|ALT))+$")
 DATES = re.compile(r"(?<!\d)(?:(\d{4})([-_. ]?)(\d{2})\2(\d{2})|(\d{2})([-_. ])(\d{2})\6(\d{4}))(?!\d)")
 GROUPED = re.compile(r"(?<!\d)(\d{3})-(\d{4})(?!\d)")
 NUMBERED = re.compile(r"(?<![^\W\d_])(?:nr|no|re|n)[\s_.-]*(?=\d)")
@@ -177,7 +178,7 @@ def fold_name(name: str) -> str:
     s = name.lower().replace("ß", "ss")
     if not s.isascii():
         s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
-    return s
+    return s.replace("ae", "a").replace("oe", "o").replace("ue", "u")
 
 
 def title(path: str) -> tuple[str, str]:
@@ -188,7 +189,7 @@ def title(path: str) -> tuple[str, str]:
     """
     name = re.split(r"[\\/]", path)[-1]
     stem = EXTENSION.sub("", name) if not name.startswith(".") else name
-    s = COUNTER.sub("", fold_name(stem).strip())
+    s = fold_name(BEHIND.sub("", stem.strip()))
     numbers: list[str] = []
 
     def date(m: re.Match[str]) -> str:
@@ -216,21 +217,32 @@ def title(path: str) -> tuple[str, str]:
     return " ".join(sorted(numbers)), " ".join(sorted(words))
 
 
-def one_edit(a: str, b: str) -> bool:
-    """The same but for one letter added, dropped or changed, or two neighbours swapped."""
+def edits_between(a: str, b: str, most: int) -> int:
+    """Letters added, dropped, changed or swapped with their neighbour that turn a into b; most + 1 if more."""
     if a == b:
-        return True
-    if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < 3:
-        return False
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    if len(a) == len(b):
-        return a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
-    return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
-
-
-def same_title(a: tuple[str, str], b: tuple[str, str], edits: int = 2) -> bool:
+        return 0
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    before: list[int] = []
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, before, row = before, row, [i]
+        for j, y in enumerate(b, 1):
+            d = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                d = min(d, last[j - 2] + 1)
+            row.append(d)
+        if min(row) > most:
+            return most + 1
+    return min(row[-1], most + 1)
+
+
+def allowed(length: int, numbered: bool) -> int:
+    """Edits that a word of so many letters may have; without a number to tell files apart one less in long ones."""
+    return 0 if length < 3 else 1 if length < 5 else 2 if length < (10 if numbered else 14) else 3
+
+
+def same_title(a: tuple[str, str], b: tuple[str, str], edits: int = 5) -> bool:
     """The same numbers and the same words but for small edits and one-sided marks of versions."""
     if a[0] != b[0]:
         return False
@@ -240,10 +252,11 @@ def same_title(a: tuple[str, str], b: tuple[str, str], edits: int = 2) -> bool:
             x.remove(w)
             y.remove(w)
     used = 0
-    for w in list(x):
-        near = next((v for v in y if one_edit(w, v)), None)
-        if near is not None:
-            used += 1
+    for w in sorted(x, key=len, reverse=True):
+        most = allowed(len(w), bool(a[0]))
+        d, near = min(((edits_between(w, v, most), v) for v in y), default=(most + 1, ""))
+        if d <= most:
+            used += d
             x.remove(w)
             y.remove(near)
     # letters that a separator took apart or a join put together
@@ -253,7 +266,7 @@ def same_title(a: tuple[str, str], b: tuple[str, str], edits: int = 2) -> bool:
         return False
     if not (a[0] or len(set(a[1].split()) & set(b[1].split())) > 0):
         return False
-    mark = lambda w: w in MAYBE or w in MARKS or (len(w) > 4 and any(one_edit(w, m) for m in MARKS))
+    mark = lambda w: w in MAYBE or w in MARKS or (len(w) > 4 and any(edits_between(w, m, 2) <= 2 for m in MARKS if len(m) > 4))
     return (not x or not y) and all(map(mark, x or y))
 
 
@@ -291,7 +304,7 @@ def expand(members: DataFrame, links: DataFrame) -> DataFrame:
     return within.unionByName(across).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def name_classes(files: DataFrame, jaccard: float = 0.45) -> tuple[DataFrame, DataFrame]:
+def name_classes(files: DataFrame, jaccard: float = 0.36) -> tuple[DataFrame, DataFrame]:
     """Members (id, class) of equal titles, and links (a, b) between classes of nearly equal ones."""
     rows = titles(files).where((F.col("words") != "") | (F.col("numbers") != ""))
     members = stored(rows.withColumn("class", F.xxhash64("numbers", "words")), "titles")
