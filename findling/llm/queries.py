@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from findling.llm import duplicates as D, leakage as L, mails as M, mojibake as J, neighbours as N, packing as K, quality as Q, splitting as S
+from findling.llm import duplicates as D, leakage as L, mails as M, mojibake as J, neighbours as N, packing as K, quality as Q, ranking as R, splitting as S
 from findling.session import table
 
 QUERIES: dict = {}
@@ -144,3 +144,44 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Every file's group by name, with its number of partners."""
     return D.grouped(*D.name_classes(table(spark, sf, "files"))).withColumnRenamed("id", "file_id")
+
+
+# 5: one ranking of search results
+
+
+@query
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The first five files of every query's combined ranking."""
+    ranked = R.combined(table(spark, sf, "results"), "query_id", "file_id")
+    return R.first_of_groups(ranked, "query_id", "file_id", 5).select("query_id", "file_id")
+
+
+_P5 = """
+WITH f AS (
+  SELECT query_id, file_id, max(similarity) AS sim, max(score) AS score, max(keyword::INT) AS kw, max(exact::INT) AS ex
+  FROM results WHERE file_id IS NOT NULL GROUP BY ALL),
+v AS (SELECT *, round(sim, 4) AS x, CASE WHEN score > 0 THEN round(ln(score), 4) END AS y FROM f),
+m AS (SELECT query_id, quantile_cont(x, 0.5) AS mx, quantile_cont(y, 0.5) AS my FROM v GROUP BY 1),
+o AS (SELECT v.*, mx, my, round(abs(x - mx), 6) AS ox, round(abs(y - my), 6) AS oy FROM v JOIN m USING (query_id)),
+d AS (SELECT query_id, quantile_cont(ox, 0.5) AS dx, avg(ox) AS ax, quantile_cont(oy, 0.5) AS dy, avg(oy) AS ay FROM o GROUP BY 1),
+z AS (
+  SELECT o.*, (x - mx) / CASE WHEN dx > 0 THEN dx * 1.4826 WHEN ax > 0 THEN ax * 1.2533 ELSE 1 END AS zx,
+         (y - my) / CASE WHEN dy > 0 THEN dy * 1.4826 WHEN ay > 0 THEN ay * 1.2533 ELSE 1 END AS zy
+  FROM o JOIN d USING (query_id)),
+c AS (
+  SELECT query_id, file_id, sim AS similarity, score, kw AS keyword, ex AS exact, round(exp((
+    ln(coalesce(greatest(1 / (1 + exp(-zx)), 1e-6), 0.1)) + ln(coalesce(greatest(1 / (1 + exp(-zy)), 1e-6), 0.1))
+    + ln(CASE WHEN kw = 1 THEN 0.9 ELSE 0.1 END) + 0.3 * ln(CASE WHEN ex = 1 THEN 0.9 ELSE 0.4 END)) / 3.3), 9) AS combined
+  FROM z),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, file_id) AS rank FROM c)"""
+ORACLES["p5_found"] = _P5 + "\nSELECT query_id, file_id FROM r WHERE rank <= 5"
+
+
+@query
+def p5_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """All files of all queries in order."""
+    ranked = R.full_order(R.combined(table(spark, sf, "results"), "query_id", "file_id"), "query_id", "file_id")
+    return ranked.withColumn("combined", F.round("combined", 6))
+
+
+ORACLES["p5_ranking"] = _P5 + "\nSELECT query_id, file_id, similarity, score, keyword, exact, round(combined, 6) AS combined, rank FROM r"
