@@ -134,9 +134,9 @@ def html_lines(html: Column) -> Column:
 
 def notebook_text(raw: Column) -> Column:
     """Sources of a notebook's cells joined by blank lines; what isn't JSON stays as it is."""
-    parsed = F.from_json(raw, "cells array<struct<source: string>>")
-    lists = F.from_json(raw, "cells array<struct<source: array<string>>>")
-    text = F.transform(F.arrays_zip(parsed["cells"], lists["cells"]), lambda c: F.coalesce(F.array_join(c["1"]["source"], ""), c["0"]["source"]))
+    cells = F.from_json(raw, "cells array<struct<source: string>>")["cells"]
+    # a source is a string or a list of lines, which comes out as JSON again
+    text = F.transform(cells, lambda c: F.coalesce(F.array_join(F.from_json(c["source"], "array<string>"), ""), c["source"]))
     return F.coalesce(F.array_join(F.filter(text, lambda x: x.isNotNull()), "\n\n"), raw)
 
 
