@@ -32,6 +32,8 @@ from findling.session import bounded, stored
 WINDOW, DIMENSIONS, OVERSAMPLING, COSINE, EXACT = 56, 112, 16, 0.64, 0.40
 #: An item counts as held from these shares of its words on (net of what differs; spanned by the pieces).
 NET, SPAN, PARAPHRASE = 0.36, 0.465, 0.25
+#: Words of at least so much of an item's greatest weight count as rare, and this share of them must match.
+RARE, RARE_SHARE = 0.6, 0.5
 COMMON = 0.1
 MOST_ITEMS = 100_000
 WORD = re.compile(r"[^\W_]+")
@@ -134,8 +136,8 @@ def dense(row: np.ndarray, term: np.ndarray, value: np.ndarray, n_terms: int, bl
         yield a, m
 
 
-def align(item: np.ndarray, doc: np.ndarray) -> tuple[float, int, int, int, int, int]:
-    """Best local alignment: (score, from and to in the item, from and to in the document, matches)."""
+def align(item: np.ndarray, doc: np.ndarray) -> tuple[float, int, int, int, int, list[int]]:
+    """Best local alignment: (score, from and to in the item, from and to in the document, the item's words that match)."""
     n, m = len(item), len(doc)
     s = np.zeros((n + 1, m + 1), np.float32)
     at = np.arange(m + 1, dtype=np.float32)
@@ -145,11 +147,12 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[float, int, int, int, int,
         s[i] = np.maximum.accumulate(s[i] + at) - at
     i, j = np.unravel_index(int(s.argmax()), s.shape)
     i, j = int(i), int(j)
-    best, ei, ej, matches = float(s[i, j]), i, j, 0
+    best, ei, ej, matches = float(s[i, j]), i, j, []
     while i and j and s[i, j] > 0:
         same = item[i - 1] == doc[j - 1]
         if s[i - 1, j - 1] + (1 if same else -1) == s[i, j]:
-            matches += int(same)
+            if same:
+                matches.append(i - 1)
             i, j = i - 1, j - 1
         elif s[i - 1, j] - 1 == s[i, j]:
             i -= 1
@@ -176,31 +179,45 @@ def dense_regions(doc: np.ndarray, inside: np.ndarray, width: int = 12, least: i
     return out[keep | np.concatenate([[False], keep[:-1]])]
 
 
-def held(item: np.ndarray, doc: np.ndarray, least: float = PARAPHRASE) -> tuple[float, float, float, int]:
-    """(net, span, matched, pieces): shares of the item's words in up to two pieces, in any order of the two.
+def held(item: np.ndarray, doc: np.ndarray, least: float = PARAPHRASE, weight: np.ndarray | None = None) -> tuple[float, float, float, float, int]:
+    """(net, span, matched, rare, pieces): shares of the item's words in up to two pieces, in any order of the two.
 
-    All 0 where the words in dense places, in whatever order, are fewer than ``least`` of the item's.
+    ``rare`` is the share of the pieces' weighty words that match: sentences built alike share the common
+    ones only. All 0 where the words in dense places, in whatever order, are fewer than ``least`` of the item's.
     """
     n = len(item)
     if not n or not len(doc):
-        return 0.0, 0.0, 0.0, 0
+        return 0.0, 0.0, 0.0, 0.0, 0
     distinct, need = np.unique(item, return_counts=True)
     at = np.minimum(np.searchsorted(distinct, doc), len(distinct) - 1)
     doc = dense_regions(doc, distinct[at] == doc)
     at = np.minimum(np.searchsorted(distinct, doc), len(distinct) - 1)
     there = np.bincount(at[distinct[at] == doc], minlength=len(distinct))
     if np.minimum(need, there).sum() < least * n:
-        return 0.0, 0.0, 0.0, 0
+        return 0.0, 0.0, 0.0, 0.0, 0
     score, a, b, c, d, matches = align(item, doc)
-    net, span, hit, count = score, b - a, matches, 1
-    if score < 0.15 * n:
-        return net / n, span / n, hit / n, count
-    rest = doc.copy()
-    rest[c:d] = -2
-    second = max((align(x, rest) for x in (item[:a], item[b:]) if len(x) >= 4), default=None)
-    if second and second[0] >= 4:
-        net, span, hit, count = net + second[0], span + second[2] - second[1], hit + second[5], 2
-    return net / n, span / n, hit / n, count
+    pieces = [(score, a, b, matches)]
+    if score >= 0.15 * n:
+        rest = doc.copy()
+        rest[c:d] = -2
+        others = []
+        for shift, x in ((0, item[:a]), (b, item[b:])):
+            if len(x) >= 4:
+                s2, a2, b2, _, _, m2 = align(x, rest)
+                others.append((s2, a2 + shift, b2 + shift, [i + shift for i in m2]))
+        second = max(others, key=lambda p: p[0], default=None)
+        if second and second[0] >= 4:
+            pieces.append(second)
+    net, span = sum(p[0] for p in pieces) / n, sum(p[2] - p[1] for p in pieces) / n
+    hit = [i for p in pieces for i in p[3]]
+    rare = 1.0
+    if weight is not None:
+        w = weight[item]
+        heavy = w >= RARE * max(float(w.max()), 1e-9)
+        inside = np.concatenate([np.arange(p[1], p[2]) for p in pieces]) if pieces else np.zeros(0, int)
+        total = int(heavy[inside].sum())
+        rare = float(heavy[hit].sum()) / total if total else 0.0
+    return net, span, len(hit) / n, rare, len(pieces)
 
 
 def find_leaks(
@@ -324,8 +341,8 @@ def find_leaks(
             keys = part.column(0).to_pylist()
             for (d, k), s in sorted(pairs.items()):
                 answered = bool(len(terms.answers[k])) and bool(np.isin(terms.answers[k], ids[d]).all())
-                net, span, matched, n = held(terms.items[k], ids[d], PARAPHRASE if answered else NET)
-                copy = net >= NET and span >= SPAN
+                net, span, matched, rare, n = held(terms.items[k], ids[d], PARAPHRASE if answered else NET, weight)
+                copy = net >= NET and span >= SPAN and rare >= RARE_SHARE
                 if copy or (net >= PARAPHRASE and answered):
                     for c, v in zip(out, (keys[d], terms.item_ids[k], s, net, span, matched, n, answered, "copy" if copy else "paraphrase")):
                         c.append(v)

@@ -93,6 +93,7 @@ class Index:
     def fit(cls, sample: np.ndarray, n: int, seed: int = 11, tables: int | None = None, functions: int | None = None, width: float | None = None, probes: int | None = None) -> Index:
         """An index for ``n`` vectors; more vectors get more functions, so that buckets stay small."""
         f, w, t, p = (6, 1.7, 4, 26) if n < 400_000 else (8, 2.0, 5, 28)
+        w *= max(1.0, 1024 / max(n, 1))  # few vectors: wider slots, down to one that holds all
         f, w, t, p = functions or f, width or w, tables or t, probes or p
         rng = np.random.default_rng(seed)
         mean = sample.mean(0)

@@ -152,7 +152,7 @@ def describe(texts: list[str | None]) -> dict[str, np.ndarray]:
     in_block = block_of_line[line]
     ok = in_block >= 0
     block_doc = line_doc[np.flatnonzero(first)]
-    chars = np.bincount(in_block[ok] * len(CLASSES) + kind[ok], minlength=n_block * len(CLASSES)).reshape(n_block, -1)
+    chars = np.bincount(in_block[ok] * len(CLASSES) + kind[ok], minlength=n_block * len(CLASSES)).reshape(n_block, len(CLASSES))
     # words
     w_start, w_len = _runs((kind < 3) | (kind == 13))
     n_word = len(w_start)
@@ -168,7 +168,7 @@ def describe(texts: list[str | None]) -> dict[str, np.ndarray]:
         [4, 5, 6, 0, 7, 1, 3, 2], 5,
     ) if n_word else np.zeros(0, int)
     w_block = in_block[w_start] if n_word else np.zeros(0, int)
-    words = np.bincount(w_block * len(WORDS) + word_kind, minlength=n_block * len(WORDS)).reshape(n_block, -1)
+    words = np.bincount(w_block * len(WORDS) + word_kind, minlength=n_block * len(WORDS)).reshape(n_block, len(WORDS))
     n_words_b = words.sum(1)
     words[n_words_b == 0, WORDS.index("none")] = 1
     # lines' kinds
@@ -205,7 +205,7 @@ def describe(texts: list[str | None]) -> dict[str, np.ndarray]:
     line_kind = np.select([cells, leaders > 0, bullet & (length < 100) & ~(ended & (length > 45)), ended & (length > 30), next_low | prev_flow, length >= 55], [0, 1, 2, 3, 4, 5], 6)
     blk = block_of_line[lines_inked]
     # lines weigh by length, so that a wrapped paragraph's last word counts little
-    lines = np.bincount(blk * len(LINES) + line_kind, weights=length, minlength=n_block * len(LINES)).reshape(n_block, -1)
+    lines = np.bincount(blk * len(LINES) + line_kind, weights=length, minlength=n_block * len(LINES)).reshape(n_block, len(LINES))
     # repetition: lines and words that came before in the block, and characters like the one before
     lh = _hashes(codes, a, length, power)
     n_lines_b = np.bincount(blk, minlength=n_block)
