@@ -60,7 +60,7 @@ NOTICES = tuple(
     tuple(re.compile(g, re.I) for g in kind)
     for kind in (
         (r"vertraulich|confidential|confidentiel|confidencial|privileged|gesch.{1,4}tzt", r"empf.{1,4}nger|addressee|recipient|destinataire|destinatari", r"l.{1,4}schen|delete|d.{1,4}trui|b.{1,4}rrel|absender|sender|exp.{1,4}diteur|remitente|error|irrt.{1,4}m|erreur"),
-        (r"\bsitz\b|is registered in|si.{1,4}ge social|domicilio social|registered office", r"registergericht|regist\w+ n\W|HRB|HRA|RCS|register no"),
+        (r"\bsitz\b|is registered in|si.{1,4}ge social|domicilio social|registered office", r"registergericht|regist\w* n(?:o|r|\W)|HRB|HRA|RCS"),
         (r"umwelt|forest|environment|\bnature\b|bosque|medio ambiente|\barbres?\b|planet|b.{1,4}ume", r"druck|print|imprim"),
         (r"opinions?|ansichten|meinungen|opiniones", r"not necessarily|nicht (?:zwingend|unbedingt)|pas n.{1,4}cessairement|no necesariamente"),
     )
@@ -92,7 +92,7 @@ class Line:
         self.device = bool(DEVICE.match(text)) and bool(DEVICE_WORD.search(text))
         self.warning = bool(WARNING.match(text)) and bool(WARNING_WORD.search(text))
         self.contact = bool(PHONE.match(text) or MAIL_OR_WEB.match(text))
-        self.company = len(text) < 60 and bool(COMPANY.search(text))
+        self.company = len(text) < 60 and " " in text.strip() and bool(COMPANY.search(text))
         self.pipes = bool(PIPES.match(text))
         self.postscript = bool(POSTSCRIPT.match(text))
         self.sentence = bool(SENTENCE.search(text)) and not self.company and not self.contact
@@ -147,6 +147,8 @@ def decode(lines: list[Line], gaps: list[int], sender: str | None = None) -> lis
 
         # authored: one line at a time, which gives lengths no limit
         own = -6.0 if x.quoted else -3.0 * (x.original or x.device or x.warning) - 2.0 * x.separator - 1.0 * x.contact
+        if x.head and ((i and lines[i - 1].head) or (i + 1 < n and lines[i + 1].head)):
+            own -= 2.0
         score, source = max(
             (here[A], A), (here[P], P), (here[D], D), (here[L], L), (here[W], W),
             (here[S] - (0.0 if x.postscript else 4.0), S), (here[T] - 3.0, T),
@@ -211,7 +213,7 @@ def decode(lines: list[Line], gaps: list[int], sender: str | None = None) -> lis
         elif (x.words <= 8 and not x.sentence or x.pipes) and not x.head_from:
             # without a separator: a paragraph of its own, or what stands under the closing formula and name
             offset = 0
-            while offset < 4 and i - offset > 0 and not gaps[i - offset] and not lines[i - offset - 1].quoted:
+            while offset < 4 and i - offset > 0 and not gaps[i - offset] and not lines[i - offset - 1].quoted and not lines[i - offset - 1].postscript:
                 offset += 1
             if offset <= 3 and (not offset or lines[i - 1].words <= 5):
                 score, proof = (0.5, -0.3, 0.0, -1.5)[offset], 0
@@ -229,7 +231,7 @@ def decode(lines: list[Line], gaps: list[int], sender: str | None = None) -> lis
                     elif names and all(w in names for w in fold(y.text).split()):
                         score -= 1.2
                     else:  # a role, where a company or contact data stand right under it
-                        score += 0.4 if i + k < n and not gaps[i + k] and (lines[i + k].contact or lines[i + k].company) else -0.8
+                        score += 0.4 if i + k < n and not gaps[i + k] and (lines[i + k].contact or lines[i + k].company) and not lines[i + k].pipes else -0.8 if k > 1 else -1.4
                     if proof:
                         at_end = i + k == n or lines[i + k].quoted or gaps[i + k]
                         put(S, i + k, top + score - (0.0 if at_end else 2.0), from_any)
