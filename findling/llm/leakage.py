@@ -36,8 +36,9 @@ NET, SPAN, PARAPHRASE = 0.36, 0.465, 0.25
 RARE, RARE_SHARE = 0.6, 0.5
 COMMON = 0.1
 MOST_ITEMS = 100_000
-WORD = re.compile(r"[^\W_]+")
+WORD = re.compile(r"\w+")  # underscores are markup and gone by then
 MARKUP = re.compile(r"<[^<>\n]{1,30}>|[*_`]+|[­​‌‍﻿]")
+PLAIN = frozenset("<*_`\u00ad\u200b\u200c\u200d\ufeff")
 HYPHEN = re.compile(r"(\w)-[ \t]*\r?\n[ \t>|]*(\w)")
 
 
@@ -51,7 +52,9 @@ def fold(word: str) -> str:
 def words(text: str) -> list[str]:
     if "-\n" in text or "-\r\n" in text:
         text = HYPHEN.sub(r"\1\2", text)
-    return WORD.findall(MARKUP.sub("", text))
+    if not PLAIN.isdisjoint(text):
+        text = MARKUP.sub("", text)
+    return WORD.findall(text)
 
 
 class Terms:
@@ -141,10 +144,14 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[float, int, int, int, int,
     n, m = len(item), len(doc)
     s = np.zeros((n + 1, m + 1), np.float32)
     at = np.arange(m + 1, dtype=np.float32)
+    step = np.where(item[:, None] == doc[None, :], np.float32(1), np.float32(-1))
     for i in range(1, n + 1):
-        x = np.maximum(s[i - 1, :-1] + np.where(doc == item[i - 1], 1, -1), s[i - 1, 1:] - 1)
-        s[i, 1:] = np.maximum(x, 0)
-        s[i] = np.maximum.accumulate(s[i] + at) - at
+        above, row = s[i - 1], s[i]
+        np.maximum(above[:-1] + step[i - 1], above[1:] - 1, out=row[1:])
+        np.maximum(row, 0, out=row)
+        row += at  # a gap along the row costs one for each word
+        np.maximum.accumulate(row, out=row)
+        row -= at
     i, j = np.unravel_index(int(s.argmax()), s.shape)
     i, j = int(i), int(j)
     best, ei, ej, matches = float(s[i, j]), i, j, []
@@ -183,9 +190,11 @@ def held(item: np.ndarray, doc: np.ndarray, least: float = PARAPHRASE, weight: n
     """(net, span, matched, rare, pieces): shares of the item's words in up to two pieces, in any order of the two.
 
     ``rare`` is the share of the pieces' weighty words that match: sentences built alike share the common
-    ones only. All 0 where the words in dense places, in whatever order, are fewer than ``least`` of the item's.
+    ones only. All 0 where the words in dense places, in whatever order, or neighbours among them, are too few for a
+    net share of ``least``.
     """
     n = len(item)
+    item, doc = item.astype(np.int64), doc.astype(np.int64)
     if not n or not len(doc):
         return 0.0, 0.0, 0.0, 0.0, 0
     distinct, need = np.unique(item, return_counts=True)
@@ -195,6 +204,10 @@ def held(item: np.ndarray, doc: np.ndarray, least: float = PARAPHRASE, weight: n
     there = np.bincount(at[distinct[at] == doc], minlength=len(distinct))
     if np.minimum(need, there).sum() < least * n:
         return 0.0, 0.0, 0.0, 0.0, 0
+    # m matches with e words off lie in at most e + 2 runs, so m - e - 2 of the item's neighbours are neighbours there
+    wide = np.int64(1) << np.int64(32)
+    if np.isin(item[:-1] * wide + item[1:], doc[:-1] * wide + doc[1:]).sum() < least * n - 2:
+        return 0.0, 0.0, 0.0, 0.0, 0
     score, a, b, c, d, matches = align(item, doc)
     pieces = [(score, a, b, matches)]
     if score >= 0.15 * n:
@@ -324,6 +337,8 @@ def find_leaks(
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
     latent[[k for k in range(len(latent)) if k not in set(has)]] = 0
 
+    item_terms, answer_terms, item_ids = terms.items, terms.answers, terms.item_ids  # not the words, which are large to send
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, ids in batches_of(batches):
             doc_of, row, term, value = passages(ids, weight, window)
@@ -340,11 +355,11 @@ def find_leaks(
             out: list[list] = [[] for _ in range(9)]
             keys = part.column(0).to_pylist()
             for (d, k), s in sorted(pairs.items()):
-                answered = bool(len(terms.answers[k])) and bool(np.isin(terms.answers[k], ids[d]).all())
-                net, span, matched, rare, n = held(terms.items[k], ids[d], PARAPHRASE if answered else NET, weight)
+                answered = bool(len(answer_terms[k])) and bool(np.isin(answer_terms[k], ids[d]).all())
+                net, span, matched, rare, n = held(item_terms[k], ids[d], PARAPHRASE if answered else NET, weight)
                 copy = net >= NET and span >= SPAN and rare >= RARE_SHARE
                 if copy or (net >= PARAPHRASE and answered):
-                    for c, v in zip(out, (keys[d], terms.item_ids[k], s, net, span, matched, n, answered, "copy" if copy else "paraphrase")):
+                    for c, v in zip(out, (keys[d], item_ids[k], s, net, span, matched, n, answered, "copy" if copy else "paraphrase")):
                         c.append(v)
             kinds = [part.schema.field(0).type, pa.int64() if item_kind == "bigint" else pa.string() if item_kind == "string" else pa.int32(), *[pa.float64()] * 4, pa.int32(), pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["a", "b", "c", "d", "e", "f", "g", "h", "i"])
