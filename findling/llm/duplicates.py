@@ -332,15 +332,15 @@ def name_classes(files: DataFrame, jaccard: float = 0.36) -> tuple[DataFrame, Da
 
 # vectors
 
-BITS, BANDS, COMMON = 24, 96, 3
+BITS, BANDS, COMMON = 20, 64, 3
 
 
 def vector_classes(rows: DataFrame, key: str = "file_id", vector: str = "vector", dim: int = 256, cosine: float = 0.96, bits: int = BITS, bands: int = BANDS, overlap: int = COMMON, seed: int = 5) -> tuple[DataFrame, DataFrame]:
     """Members (id, class) of identical vectors, and links (a, b) between classes of at least so much cosine.
 
     A vector's set holds one token for each band of signs of random projections. At a cosine of 0.96 a band
-    agrees with probability 0.10, so 10 of 96 are common on average and fewer than 3 once in 400 times; at
-    0.97 and more it is once in 15,000 times. The cosine of all pairs found is computed exactly.
+    agrees with probability 0.15, so 9.7 of 64 are common on average and fewer than 3 once in 450 times; at
+    0.97 it is once in 8,700 times. The cosine of all pairs found is computed exactly.
     """
     units = stored(unit_vectors(rows, key, vector, dim).withColumn("id", F.col("key")).withColumn("class", F.xxhash64("class")), "directions")
     reps = stored(units.groupBy("class").agg(F.min("unit").alias("unit")), "representatives")
