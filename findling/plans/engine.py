@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import time
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from findling.functions import paths as P, text as X
-from findling.operators import embedding as E, folders as FO, fusion as FU, keyword as KW, passages as PA, vector as VE
+from findling.operators import embedding as E, folders as FO, fusion as FU, keyword as KW, mapview as MV, passages as PA, vector as VE
 from findling.operators.incremental import VersionedTarget, new_or_changed
 from findling.operators.scans import unchanged
-from findling.session import stored
+from findling.session import bounded, stored
 from findling.sources.documents import read_documents
 from findling.sources.walk import files_of, ruled
 
@@ -103,6 +104,63 @@ class Engine:
         found = VE.knn(means.where(F.col("file_id") != file_id), own[0]["vector"], limit, ["file_id"])
         return found.select("file_id", X.round4(F.col("similarity")).alias("similarity"), (F.col("similarity") >= VE.NEAR).alias("near"))
 
+    def similar_to(self, texts: list[str], limit: int = 30) -> DataFrame:
+        """Files by the similarity to texts that aren't in the index: at most 24 passages' mean vector."""
+        parts = [p for t in texts for _, p in PA.windows(t)][:24]
+        if not parts:
+            raise Invalid("nothing to compare with")
+        v = np.mean(self.model([f"title: none | text: {p}" for p in parts]), axis=0)
+        v = v / (np.linalg.norm(v) or 1.0)
+        found = VE.knn(VE.mean_vectors(self.passages()), list(map(float, v)), limit, ["file_id"])
+        return found.select("file_id", X.round4(F.col("similarity")).alias("similarity"))
+
+    def vector(self, file_id: int) -> tuple[list[float], str]:
+        """A file's mean vector to four decimals and the start of its first passage."""
+        rows = VE.mean_vectors(self.passages().where(F.col("file_id") == file_id)).collect()
+        if not rows:
+            raise NotFound(file_id)
+        first = self.text(file_id).first()
+        return [round(x, 4) for x in rows[0]["vector"]], first["text"][:600]
+
+    def related(self, file_id: int) -> DataFrame:
+        """Every file's similarity to one, to three decimals, with what a map draws by it."""
+        own, _ = self.vector(file_id)
+        hits = VE.scored(VE.mean_vectors(self.passages()), own).select("file_id", F.round("similarity", 3).alias("similarity"))
+        return VE.related_weights(hits)
+
+    def dimension(self, number: int) -> DataFrame:
+        """One component of every file's mean vector, to four decimals."""
+        if not 0 <= number < self.dim:
+            raise Invalid(f"a dimension lies between 0 and {self.dim - 1}")
+        return VE.mean_vectors(self.passages()).select("file_id", F.round(F.element_at("vector", number + 1), 4).alias("value"))
+
+    def map(self, most: int = MV.MOST, epochs: int = 400) -> DataFrame:
+        """``file_id, x, y, z`` of a sample of bounded size: neighbours embedded, few files by principal components."""
+        means = VE.mean_vectors(self.passages())
+        points = bounded(MV.sample(means, most=most), most, "points of the map")
+        ids = [r["file_id"] for r in points]
+        x = np.array([r["vector"] for r in points], np.float64).reshape(len(ids), self.dim)
+        if len(ids) >= MV.LEAST_TSNE:
+            mean, comps = MV.principal(means, "vector", self.dim, 50)
+            y = MV.tsne((x - mean) @ comps.T, epochs=epochs)
+        else:
+            y = np.zeros((len(ids), 3))
+            if len(ids) > 1:
+                u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+                y[:, : min(3, len(s))] = (u * s)[:, :3]
+        rows = self.spark.createDataFrame([(i, *map(float, p)) for i, p in zip(ids, y)], "file_id bigint, x double, y double, z double")
+        return MV.fit(rows, ["x", "y", "z"]) if ids else rows
+
+    def folders(self, folders: DataFrame) -> DataFrame:
+        """Counts of every folder given (id, path, report)."""
+        return FO.summary(folders, self.files())
+
+    def filetypes(self, off: DataFrame | None = None) -> DataFrame:
+        """Formats of the files in the index with their numbers, and those switched off."""
+        none = self.spark.createDataFrame([], "path string")
+        counts = FO.format_counts(self.files(), none)
+        return FO.type_menu(counts, off if off is not None else self.spark.createDataFrame([], "category string, ext string"))
+
     def subdirs(self, folder: str) -> DataFrame:
         return FO.subdirs(self.files(), folder)
 

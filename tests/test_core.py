@@ -273,7 +273,13 @@ def test_engine(spark, tmp_path):
     assert e.passages().count() == 2 and e.status()["indexed"] == 2
     fid = e.files().where("path = 'a.txt'").first()["id"]
     assert e.similar(fid).count() == 1
+    assert e.similar_to(["holiday in Italy"]).first()["similarity"] > 0.5
+    v, text = e.vector(fid)
+    assert len(v) == 256 and text.startswith("nothing") and e.dimension(3).count() == 2 and e.related(fid).count() == 2
+    assert e.map().count() == 2 and e.filetypes().count() == 2
     with pytest.raises(NotFound):
         e.similar(-1)
+    with pytest.raises(Invalid):
+        e.dimension(256)
     with pytest.raises(Invalid):
         e.search("x", limit=101)
