@@ -7,7 +7,7 @@ of one width); a vector lies in one bucket of each table. A query visits its own
 ones in the order of their estimated success, the squared distances to the slots' borders. Candidates of all
 tables are merged and ranked by exact cosine; the hash decides only what is compared.
 
-Buckets that agree in their first two slots form a cell, and a query is sent once to every cell it probes
+Buckets that agree in their leading slots form a cell, and a query is sent once to every cell it probes
 with the list of buckets to visit there. A cell is worked off by one task as matrix products; a cell with
 more rows than a block holds is split into blocks of rows times blocks of queries, so a dense region that
 holds a third of all vectors costs many tasks, never a big one, and loses no candidate.
@@ -88,11 +88,12 @@ class Index:
     tables: list[tuple[np.ndarray, np.ndarray]]  # kept x functions (scaled by the width), shifts
     deltas: np.ndarray  # perturbations with at most three slots changed
     probes: int
+    lead: int = 2  # slots that name a cell
 
     @classmethod
     def fit(cls, sample: np.ndarray, n: int, seed: int = 11, tables: int | None = None, functions: int | None = None, width: float | None = None, probes: int | None = None) -> Index:
         """An index for ``n`` vectors; more vectors get more functions, so that buckets stay small."""
-        f, w, t, p = (6, 1.7, 4, 26) if n < 400_000 else (8, 2.0, 5, 28)
+        f, w, t, p, lead = (6, 1.7, 5, 30, 1) if n < 400_000 else (8, 2.0, 6, 30, 2)
         w *= max(1.0, 1024 / max(n, 1))  # few vectors: wider slots, down to one that holds all
         f, w, t, p = functions or f, width or w, tables or t, probes or p
         rng = np.random.default_rng(seed)
@@ -109,7 +110,7 @@ class Index:
             scale = w * max(float((x @ g).std()), 1e-6)
             made.append(((g / scale).astype(np.float32), rng.random(f).astype(np.float32)))
         deltas = np.array([d for d in itertools.product((0, -1, 1), repeat=f) if sum(map(bool, d)) <= 3], np.int64)
-        return cls(directions, mean.astype(np.float32), made, deltas, min(p, len(deltas)))
+        return cls(directions, mean.astype(np.float32), made, deltas, min(p, len(deltas)), lead)
 
     @staticmethod
     def _project(x: np.ndarray, mean: np.ndarray, directions: np.ndarray) -> np.ndarray:
@@ -125,11 +126,11 @@ class Index:
             yield t, h.astype(np.int64), (z - h).astype(np.float32)
 
     def code(self, t: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cell (table and first two slots) and bucket within the cell."""
+        """Cell (table and leading slots) and bucket within the cell."""
         s = np.clip(h + 64, 0, 127)
-        cell = (t * 128 + s[..., 0]) * 128 + (s[..., 1] if s.shape[-1] > 1 else 0)
+        cell = (t * 128 + s[..., 0]) * 128 + (s[..., 1] if s.shape[-1] > 1 and self.lead > 1 else 0)
         bucket = np.zeros(h.shape[:-1], np.int64)
-        for j in range(2, s.shape[-1]):
+        for j in range(self.lead, s.shape[-1]):
             bucket = bucket * 128 + s[..., j]
         return cell, bucket
 
