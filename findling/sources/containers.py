@@ -6,6 +6,7 @@ import bz2
 import gzip
 import io
 import lzma
+import struct
 import tarfile
 import zipfile
 from collections.abc import Iterator
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from findling.sources import ole
 from findling.sources.documents import mail_parts
 
 MOST_ENTRIES, NESTED_BYTES = 20_000, 256 * 1024 * 1024
@@ -85,11 +87,12 @@ def entries(name: str, data: bytes, most: int) -> Iterator[tuple[str, int, float
                 body = limited(f, most)
             yield inner, len(body or b""), 0.0, body, None if body is not None else "nested_large"
         elif what == "mail":
-            for n, body in mail_parts(data)[1]:
+            attached = ole.message(ole.CompoundFile(data))[1] if data.startswith(ole.MAGIC) else mail_parts(data)[1]
+            for n, body in attached:
                 yield n, len(body), 0.0, body, None
         elif what == "library":
             yield "", 0, 0.0, None, "needs_windows"
-    except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError, lzma.LZMAError):
+    except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError, lzma.LZMAError, ValueError, struct.error):
         yield "", 0, 0.0, None, "damaged_archive"
 
 

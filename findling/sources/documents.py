@@ -13,6 +13,7 @@ import html
 import io
 import json
 import re
+import struct
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
@@ -21,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from findling.functions import filetypes as T
+from findling.sources import ole
 
 OLE = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
 
@@ -337,8 +339,13 @@ def extract(name: str, data: bytes) -> str:
         text = by_zip(data)(data)
     elif data.startswith(b"{\\rtf"):
         text = rich_text(data)
-    elif data.startswith(OLE) or ext in (".doc", ".xls", ".ppt", ".msg"):
-        raise Unreadable("needs_reader_ole")
+    elif data.startswith(OLE):
+        try:
+            text = ole.text(data)
+        except ValueError as e:
+            raise Unreadable(str(e) if str(e) in ("password", "type") else "damaged_document") from e
+        except (struct.error, KeyError, IndexError) as e:
+            raise Unreadable("damaged_document") from e
     elif data.startswith(b"%PDF"):
         raise Unreadable("needs_reader_pdf")
     elif ext in (".eml", ".mht", ".mhtml"):
