@@ -304,8 +304,12 @@ def expand(members: DataFrame, links: DataFrame) -> DataFrame:
     return within.unionByName(across).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def name_classes(files: DataFrame, jaccard: float = 0.36) -> tuple[DataFrame, DataFrame]:
-    """Members (id, class) of equal titles, and links (a, b) between classes of nearly equal ones."""
+def name_classes(files: DataFrame, numbered: float = 0.45, bare: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """Members (id, class) of equal titles, and links (a, b) between classes of nearly equal ones.
+
+    Titles with numbers share tokens with those of the same numbers only, so a low similarity costs little;
+    without any the words alone tell titles apart, and small edits leave at least 0.6 of their triples.
+    """
     rows = titles(files).where((F.col("words") != "") | (F.col("numbers") != ""))
     members = stored(rows.withColumn("class", F.xxhash64("numbers", "words")), "titles")
     reps = members.groupBy("class").agg(F.min(F.struct("numbers", "words")).alias("t")).select("class", "t.*")
@@ -315,9 +319,12 @@ def name_classes(files: DataFrame, jaccard: float = 0.36) -> tuple[DataFrame, Da
             n, w = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name_tokens(t) for t in zip(n, w)], pa.list_(pa.string()))], ["class", "tokens"])
 
-    # hashed with the JVM's function, so that no task's hash seed matters
-    sets = reps.mapInArrow(tokenise, "class bigint, tokens array<string>").select("class", F.transform("tokens", lambda x: F.xxhash64(x)).alias("tokens"))
-    pairs = similar_sets(sets, "class", "tokens", jaccard=jaccard)
+    def alike(part: DataFrame, least: float) -> DataFrame:
+        # hashed with the JVM's function, so that no task's hash seed matters
+        sets = part.mapInArrow(tokenise, "class bigint, tokens array<string>").select("class", F.transform("tokens", lambda x: F.xxhash64(x)).alias("tokens"))
+        return similar_sets(sets, "class", "tokens", jaccard=least)
+
+    pairs = alike(reps.where("numbers <> ''"), numbered).unionByName(alike(reps.where("numbers = ''"), bare))
     named = pairs.join(reps.select(F.col("class").alias("a"), F.struct("numbers", "words").alias("ta")), "a").join(reps.select(F.col("class").alias("b"), F.struct("numbers", "words").alias("tb")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
