@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,7 +35,26 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> Sp
     return s
 
 
+ROOT = Path(__file__).resolve().parent.parent
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors' Python, once for a context, unless they find it by themselves."""
+    sc = spark.sparkContext
+    if getattr(sc, "_findling_shipped", False):
+        return
+    on_path = str(ROOT) in map(os.path.abspath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))
+    if not (sc.master.startswith("local") and (on_path or Path.cwd() == ROOT)):
+        archive = Path(tempfile.mkdtemp(prefix="findling-")) / "findling_package.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted((ROOT / "findling").rglob("*.py")):
+                z.write(f, f.relative_to(ROOT))
+        sc.addPyFile(str(archive))
+    sc._findling_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -63,6 +84,7 @@ def scratch(spark: SparkSession, what: str) -> str:
 def stored(df: DataFrame, what: str, partition_by: list[str] | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, safe if executors are lost."""
     spark = df.sparkSession
+    ship(spark)
     path = scratch(spark, what)
     w = df.write.option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
