@@ -8,9 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from findling.session import ship
+
 
 def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: T.StructType | str, slice_rows: int = 2000) -> DataFrame:
     """``mapInArrow`` with columns as Python lists; ``fn`` maps a slice's columns to output columns."""
+    ship(df.sparkSession)
     out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

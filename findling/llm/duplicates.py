@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -181,6 +182,12 @@ def fold_name(name: str) -> str:
     return s.replace("ae", "a").replace("oe", "o").replace("ue", "u")
 
 
+@lru_cache(maxsize=100_000)
+def _nearly_a_mark(w: str) -> bool:
+    """A long mark with a slip of the pen."""
+    return len(w) >= 6 and any(abs(len(m) - len(w)) <= 1 and edits_between(w, m, 1) <= 1 for m in MARKS if len(m) >= 7)
+
+
 def title(path: str) -> tuple[str, str]:
     """(numbers, words) of a path's last part, each joined by spaces; what marks a copy or version is left out.
 
@@ -210,7 +217,7 @@ def title(path: str) -> tuple[str, str]:
             skip = False
         elif w.isdigit():
             numbers.append(w.lstrip("0") or "0")
-        elif w in MARKS:
+        elif w in MARKS or _nearly_a_mark(w):
             skip = k + 1 < len(pieces_) and pieces_[k + 1] == OF.get(w)
         else:
             words.append(w)
@@ -304,11 +311,11 @@ def expand(members: DataFrame, links: DataFrame) -> DataFrame:
     return within.unionByName(across).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def name_classes(files: DataFrame, numbered: float = 0.45, bare: float = 0.6) -> tuple[DataFrame, DataFrame]:
+def name_classes(files: DataFrame, numbered: float = 0.36, bare: float = 0.45) -> tuple[DataFrame, DataFrame]:
     """Members (id, class) of equal titles, and links (a, b) between classes of nearly equal ones.
 
     Titles with numbers share tokens with those of the same numbers only, so a low similarity costs little;
-    without any the words alone tell titles apart, and small edits leave at least 0.6 of their triples.
+    without any the words alone tell titles apart, and small edits leave more of their triples in common.
     """
     rows = titles(files).where((F.col("words") != "") | (F.col("numbers") != ""))
     members = stored(rows.withColumn("class", F.xxhash64("numbers", "words")), "titles")
