@@ -457,12 +457,12 @@ def folder_summary(spark: SparkSession, sf: str) -> DataFrame:
 _MAIL = "regexp_matches(lower(v.path), '\\.(eml|msg|mht|mhtml)$')"
 ORACLES["folder_summary"] = f"""
 WITH {_VALID}
-SELECT f.id, f.path, count(v.id) AS files, count_if(status = 'indexed') AS indexed, count_if(status = 'pending') AS pending,
-  count_if(status = 'error' AND muted = 0) AS errors, count_if(status = 'error') AS unreadable, count_if(status = 'skipped') AS skipped,
+SELECT f.id, f.path, count(v.id) AS files, count(*) FILTER (WHERE status = 'indexed') AS indexed, count(*) FILTER (WHERE status = 'pending') AS pending,
+  count(*) FILTER (WHERE status = 'error' AND muted = 0) AS errors, count(*) FILTER (WHERE status = 'error') AS unreadable, count(*) FILTER (WHERE status = 'skipped') AS skipped,
   coalesce(sum(CASE WHEN status = 'indexed' THEN size ELSE 0 END), 0)::BIGINT AS bytes, coalesce(sum(chunks), 0)::BIGINT AS chunks,
-  count_if(kind = 'image' AND status = 'indexed') AS images, count_if(status = 'indexed' AND kind = 'doc' AND NOT {_MAIL}) AS docs,
-  count_if(status = 'indexed' AND kind IN ('text', 'code') AND NOT {_MAIL}) AS texts, count_if(status = 'indexed' AND kind <> 'image' AND {_MAIL}) AS mails,
-  count_if(status = 'skipped') + coalesce(list_sum(list_transform(list_filter(map_entries(any_value(report)), lambda e: e.key NOT IN ('no_access_dir', 'unreadable_dir', 'damaged_archive')), lambda e: e.value)), 0)::BIGINT AS unsearched
+  count(*) FILTER (WHERE kind = 'image' AND status = 'indexed') AS images, count(*) FILTER (WHERE status = 'indexed' AND kind = 'doc' AND NOT {_MAIL}) AS docs,
+  count(*) FILTER (WHERE status = 'indexed' AND kind IN ('text', 'code') AND NOT {_MAIL}) AS texts, count(*) FILTER (WHERE status = 'indexed' AND kind <> 'image' AND {_MAIL}) AS mails,
+  count(*) FILTER (WHERE status = 'skipped') + coalesce(list_sum(list_transform(list_filter(map_entries(any_value(report)), lambda e: e.key NOT IN ('no_access_dir', 'unreadable_dir', 'damaged_archive')), lambda e: e.value)), 0)::BIGINT AS unsearched
 FROM folders f LEFT JOIN valid v ON v.folder_id = f.id GROUP BY f.id, f.path"""
 
 

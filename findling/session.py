@@ -44,7 +44,8 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_findling_shipped", False):
         return
     on_path = str(ROOT) in map(os.path.abspath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))
-    if not (sc.master.startswith("local") and (on_path or Path.cwd() == ROOT)):
+    same_folder = sc.master.startswith("local") and not sc.master.startswith("local-") and Path.cwd() == ROOT
+    if not (same_folder or (on_path and sc.master.startswith("local"))):
         archive = Path(tempfile.mkdtemp(prefix="findling-")) / "findling_package.zip"
         with zipfile.ZipFile(archive, "w") as z:
             for f in sorted((ROOT / "findling").rglob("*.py")):
