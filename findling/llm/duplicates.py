@@ -184,8 +184,8 @@ def fold_name(name: str) -> str:
 
 @lru_cache(maxsize=100_000)
 def _nearly_a_mark(w: str) -> bool:
-    """A long mark with a slip of the pen."""
-    return len(w) >= 6 and any(abs(len(m) - len(w)) <= 1 and edits_between(w, m, 1) <= 1 for m in MARKS if len(m) >= 7)
+    """A long mark with a slip of the pen; another ending makes another word."""
+    return len(w) >= 6 and any(edits_between(w, m, 1) == 1 and w[:-1] != m and w[:-1] != m[:-1] for m in MARKS if len(m) >= 7)
 
 
 def title(path: str) -> tuple[str, str]:
