@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from findling.functions import vectors as V
+from findling.session import bounded
 
 NEAR = 0.96
 
@@ -38,8 +39,6 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, key: list[str], que
     The queries are a stated set (at most ``most``), multiplied in blocks with the rows where these are;
     each batch of rows passes on k of each query.
     """
-    from findling.session import bounded
-
     got = bounded(queries.select(query_key, query_vector), most, "query vectors")
     ids = [r[0] for r in got]
     q = np.array([r[1] for r in got], np.float64).reshape(len(got), -1)
@@ -95,7 +94,29 @@ def related_weights(rows: DataFrame, closest: int = 6) -> DataFrame:
     )
 
 
-def dimension_scale(rows: DataFrame, component: str) -> DataFrame:
+def nth_value(rows: DataFrame, value: str, n: int, buckets: int = 4096, few: int = 10_000) -> float | None:
+    """The n-th smallest value (from 0), found by counts in ever narrower buckets; few rows reach the driver."""
+    x = rows.select(F.col(value).cast("double").alias("x")).where(F.col("x").isNotNull())
+    while True:
+        low, high, size = x.agg(F.min("x"), F.max("x"), F.count("*")).collect()[0]
+        if not size or n >= size:
+            return None
+        if size <= few:
+            return sorted(r[0] for r in bounded(x, few, "values"))[n]
+        if low == high:
+            return low
+        step = F.least(F.floor((F.col("x") - low) / ((high - low) / buckets)), F.lit(buckets - 1))
+        counts = dict(map(tuple, bounded(x.groupBy(step.alias("b")).agg(F.count("*")), buckets, "buckets")))
+        for b in sorted(counts):
+            if n < counts[b]:
+                x = x.where(step == b)
+                break
+            n -= counts[b]
+
+
+def dimension_scale(rows: DataFrame, component: str) -> float | None:
     """The element at floor(0.95 n) of a component's sorted absolute values."""
     x = rows.select(F.abs(F.col(component)).alias("x")).where(F.col("x").isNotNull())
-    return x.agg(F.sort_array(F.collect_list(F.round("x", 6))).alias("s")).select(F.element_at("s", (F.floor(F.size("s") * 0.95) + 1).cast("int")).alias("scale"))
+    return nth_value(x, "x", int(x.count() * 0.95))
+
+

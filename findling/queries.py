@@ -293,7 +293,7 @@ SELECT query_file_id, file_id, round(s, 5) AS similarity, round(least(greatest((
 @query
 def dimension_scale(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings").select(F.element_at("embedding", 1).cast("double").alias("c"))
-    return VE.dimension_scale(rows, "c")
+    return spark.createDataFrame([(VE.dimension_scale(rows, "c"),)], "scale double").select(F.round("scale", 6).alias("scale"))
 
 
 ORACLES["dimension_scale"] = "SELECT list_sort(list(round(abs(embedding[1]::DOUBLE), 6)))[(floor(count(*) * 0.95) + 1)::INT] AS scale FROM embeddings"

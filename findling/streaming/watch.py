@@ -28,7 +28,7 @@ def route(changes: DataFrame, folders: DataFrame) -> DataFrame:
     ``changes`` has path and event; of several roots above a path the longest counts.
     """
     roots = folders.select(F.col("id").alias("folder_id"), P.normcase(F.regexp_replace("path", r"[\\/]+$", "")).alias("root"))
-    above = changes.select("*", F.explode(P.ancestors(P.normcase(F.col("path")))).alias("root")).join(F.broadcast(roots), "root")
+    above = changes.select("*", F.explode(P.ancestors(P.normcase(F.col("path")))).alias("root")).join(roots, "root")
     best = above.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy(F.desc(F.length("root"))))).where("n = 1").drop("n")
     below = F.filter(F.split(F.substr("path", F.length("root") + 2), r"[\\/]"), lambda x: x != "")
     what = (

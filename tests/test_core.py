@@ -172,6 +172,18 @@ def test_state(spark):
         ST.settings({}, {"nonsense": 1})
 
 
+def test_ranks_without_one_sorting_task(spark):
+    from findling.operators.vector import nth_value
+
+    rows = spark.range(30_000).select((F.col("id") * 7919 % 30_011).cast("double").alias("x"))
+    want = sorted(i * 7919 % 30_011 for i in range(30_000))
+    assert [nth_value(rows, "x", n, buckets=64, few=50) for n in (0, 17, 28_499, 29_999)] == [want[n] for n in (0, 17, 28_499, 29_999)]
+    assert nth_value(rows, "x", 30_000) is None and nth_value(spark.range(500).select(F.lit(2.0).alias("x")), "x", 7, few=5) == 2.0
+    numbered = ST.number_rows(spark.createDataFrame([(f"c:\\users\\{i:05d}",) for i in range(0, 3000, 3)], "k string"), "k").collect()
+    assert sorted((r.k, r.n) for r in numbered) == [(f"c:\\users\\{i:05d}", i // 3 + 1) for i in range(0, 3000, 3)]
+    assert ST.number_rows(spark.createDataFrame([], "k string"), "k").count() == 0
+
+
 def test_map(spark):
     rng = np.random.default_rng(0)
     ids = spark.createDataFrame([(i,) for i in range(100)], "file_id long")
