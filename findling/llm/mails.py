@@ -7,7 +7,7 @@ sequence is found by dynamic programming. A span's score is made of
 
 * boundary cues: a separator, an introduction with a date and a verb of writing, header lines, an opening
   phrase, a blank line before;
-* its length: introductions take one to three lines, notices up to seven, signatures up to ten (without
+* its length: introductions take one to four lines, notices up to seven, signatures up to ten (without
   limit after a separator), authored and quoted text any number;
 * features of the whole span: how many lines hold contact data or a company, whether the joined text of a
   notice speaks of recipients and errors, or of seat and register, or of printing and nature; what follows.
@@ -164,7 +164,7 @@ def decode(lines: list[Line], gaps: list[int], sender: str | None = None) -> lis
             continue
         if x.intro:  # an introduction may be wrapped
             joined = x.text
-            for k in range(1, 4):
+            for k in range(1, 5):
                 if INTRO.match(joined):
                     follows = i + k == n or lines[i + k].quoted or lines[i + k].head_from or lines[i + k].original
                     put(T, i + k, top + (5.0 if follows else 1.5), from_any)
