@@ -15,6 +15,7 @@ import json
 import re
 import struct
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
 
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from findling.functions import filetypes as T
-from findling.sources import ole
+from findling.sources import ole, pdf
 
 OLE = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
 
@@ -347,7 +348,12 @@ def extract(name: str, data: bytes) -> str:
         except (struct.error, KeyError, IndexError) as e:
             raise Unreadable("damaged_document") from e
     elif data.startswith(b"%PDF"):
-        raise Unreadable("needs_reader_pdf")
+        try:
+            text = pdf.text(data)
+        except ValueError as e:
+            raise Unreadable("password" if str(e) == "password" else "damaged_document") from e
+        except (KeyError, IndexError, RecursionError, zlib.error) as e:
+            raise Unreadable("damaged_document") from e
     elif ext in (".eml", ".mht", ".mhtml"):
         text = mail_parts(data)[0]
     elif ext in (".fodt", ".fods", ".fodp", ".fodg"):

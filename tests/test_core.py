@@ -225,7 +225,7 @@ def test_documents(spark):
     assert "Subject: Hi" in text and "Body" in text and [n for n, _ in attached] == ["x.txt", "x (2).txt"]
     rows = spark.createDataFrame([("a.docx", bytearray(docx(body))), ("b.pdf", bytearray(b"%PDF-1")), ("c.txt", bytearray(b"a\0b")), ("d.docx", bytearray(b"PK\x03\x04xx")), ("e.txt", None), ("f.txt", bytearray(b"ok"))], "path string, content binary")
     got = {r.path: (r.text, r.error) for r in D.read_documents(rows).collect()}
-    assert got["f.txt"] == ("ok", None) and got["b.pdf"][1] == "!needs_reader_pdf" and got["c.txt"][1] == "!binary" and got["d.docx"][1] == "!damaged_archive" and got["e.txt"][1] == "!too_large"
+    assert got["f.txt"] == ("ok", None) and got["b.pdf"][1] == "!no_text" and got["c.txt"][1] == "!binary" and got["d.docx"][1] == "!damaged_archive" and got["e.txt"][1] == "!too_large"
 
 
 def test_walk_of_containers(spark):
