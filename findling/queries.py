@@ -222,6 +222,23 @@ def keyword_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("query_id", "doc_id", "rank")
 
 
+ORACLES["keyword_prefix"] = f"""
+WITH {_TERMS}, {_POSTED},
+typed AS (SELECT query_id, list_concat(terms[1:-2], [terms[-1][1:4]]) AS t FROM q WHERE len(terms) > 0),
+d AS (SELECT query_id, list_transform(list_filter(list_zip(t, range(1, len(t) + 1)), lambda x: list_position(t, x[1]) = x[2]), lambda x: x[1]) AS t FROM typed),
+ask AS (SELECT query_id, t[i] AS phrase, i = len(t) AND length(t[i]) >= 3 AS open FROM d, range(1, 13) r(i) WHERE i <= len(t)),
+h AS (SELECT phrase, open, doc_id, sum(tf_name) AS tf_name, sum(tf_text) AS tf_text FROM (SELECT DISTINCT phrase, open FROM ask) JOIN p ON CASE WHEN open THEN starts_with(term, phrase) ELSE term = phrase END GROUP BY ALL),
+len AS (SELECT doc_id, sum(tf_name + tf_text) AS l FROM p GROUP BY 1),
+st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(l) FROM len) / (SELECT count(*) FROM documents) AS avgdl),
+df AS (SELECT phrase, open, count(*) AS df FROM h GROUP BY ALL),
+s AS (
+  SELECT query_id, doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (4.0 * tf_name + tf_text) * 2.2
+         / ((4.0 * tf_name + tf_text) + 1.2 * (0.25 + 0.75 * l / avgdl))) AS score
+  FROM ask JOIN h USING (phrase, open) JOIN df USING (phrase, open) JOIN len USING (doc_id), st GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
+SELECT query_id, doc_id, rank FROM r WHERE rank <= 10"""
+
+
 # vectors
 
 
