@@ -9,11 +9,13 @@
    (with the items as weighted rows, so that the space keeps what tells items apart), a second pass gives
    the small matrix whose eigenvectors turn the basis into singular vectors. What leaves a task is
    terms x dimensions numbers, bounded by the items and a parameter, not by the corpus.
-4. Passages and items are compared by cosine in the latent space; documents with a passage above the
-   threshold, and not far below it in the full term space, are candidates of the item.
+4. Candidates of an item are all documents that hold as many of its neighbouring words as neighbours as the
+   weakest alignment that counts must have, wherever in the document they stand; no threshold of similarity
+   comes before. The similarity given is the greatest cosine of a passage with the item in the latent space.
 5. A candidate is checked by alignment: the longest common subsequence in up to two dense pieces, with
    substitutions, insertions and gaps costing one. Copies hold at least about half of the item's words so;
-   weaker alignments count as paraphrases where the item's answer stands in the document, too.
+   weaker alignments count as paraphrases where the item's answer stands in the document, too, and either
+   their rare words match or a passage is near to the item in the latent and the full term space.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ NET, SPAN, PARAPHRASE = 0.36, 0.465, 0.25
 RARE, RARE_SHARE = 0.6, 0.5
 COMMON = 0.1
 MOST_ITEMS = 100_000
+WIDE = np.int64(1) << np.int64(32)
 WORD = re.compile(r"\w+")  # underscores are markup and gone by then
 MARKUP = re.compile(r"<[^<>\n]{1,30}>|[*_`]+|[­​‌‍﻿]")
 PLAIN = frozenset("<*_`\u00ad\u200b\u200c\u200d\ufeff")
@@ -186,12 +189,53 @@ def dense_regions(doc: np.ndarray, inside: np.ndarray, width: int = 12, least: i
     return out[keep | np.concatenate([[False], keep[:-1]])]
 
 
+class Signs:
+    """The items' neighbouring words, and which items have them; of items too short for a bound on those, their words.
+
+    ``held`` gives 0 below ``least * n - 2`` neighbours and below ``least * n`` words, so no pair it accepts is missed.
+    """
+
+    def __init__(self, items: list[np.ndarray], least: float = PARAPHRASE):
+        pairs = [least * len(x) > 2 for x in items]
+        self.words = not all(pairs)
+        self.lengths, self.spare = np.array([len(x) for x in items]), 2 * np.array(pairs, int)
+        self.need = least * self.lengths - self.spare
+        keys = [(x[:-1] + np.int64(1)) * WIDE + x[1:] if p else x.astype(np.int64) for x, p in zip(items, pairs)]
+        of = np.repeat(np.arange(len(items)), [len(k) for k in keys])
+        flat = np.concatenate([*keys, np.zeros(0, np.int64)])
+        order = np.lexsort((of, flat))
+        self.keys, first = np.unique(flat[order], return_index=True)
+        self.first, self.items = np.append(first, len(flat)), of[order]
+
+    def candidates(self, ids: list[np.ndarray], most: int = 4_000_000) -> Iterator[tuple[int, int, int]]:
+        """(document, item, signs shared) of all pairs that share enough; an item's sign counts as often as the item has it."""
+        n_items = len(self.need)
+        block = max(1, most // n_items)
+        for a in range(0, len(ids) if len(self.keys) else 0, block):
+            part = ids[a : a + block]
+            flat = np.concatenate(part).astype(np.int64)
+            doc = np.repeat(np.arange(len(part)), [len(x) for x in part])
+            ok = (flat[:-1] >= 0) & (flat[1:] >= 0) & (doc[:-1] == doc[1:])
+            key, doc_of = (flat[:-1][ok] + 1) * WIDE + flat[1:][ok], doc[:-1][ok]
+            if self.words:
+                key, doc_of = np.concatenate([key, flat[flat >= 0]]), np.concatenate([doc_of, doc[flat >= 0]])
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            both = np.unique(doc_of[hit] * len(self.keys) + at[hit])
+            d, at = both // len(self.keys), both % len(self.keys)
+            times = self.first[at + 1] - self.first[at]
+            entry = np.arange(times.sum()) + np.repeat(self.first[at] - (np.cumsum(times) - times), times)
+            shared = np.bincount(np.repeat(d, times) * n_items + self.items[entry], minlength=len(part) * n_items).reshape(len(part), n_items)
+            for d, k in np.argwhere((shared > 0) & (shared >= self.need)):
+                yield a + int(d), int(k), int(shared[d, k])
+
+
 def held(item: np.ndarray, doc: np.ndarray, least: float = PARAPHRASE, weight: np.ndarray | None = None) -> tuple[float, float, float, float, int]:
     """(net, span, matched, rare, pieces): shares of the item's words in up to two pieces, in any order of the two.
 
     ``rare`` is the share of the pieces' weighty words that match: sentences built alike share the common
     ones only. All 0 where the words in dense places, in whatever order, or neighbours among them, are too few for a
-    net share of ``least``.
+    net share of ``least``, or the first piece is less than half of it.
     """
     n = len(item)
     item, doc = item.astype(np.int64), doc.astype(np.int64)
@@ -205,10 +249,11 @@ def held(item: np.ndarray, doc: np.ndarray, least: float = PARAPHRASE, weight: n
     if np.minimum(need, there).sum() < least * n:
         return 0.0, 0.0, 0.0, 0.0, 0
     # m matches with e words off lie in at most e + 2 runs, so m - e - 2 of the item's neighbours are neighbours there
-    wide = np.int64(1) << np.int64(32)
-    if np.isin(item[:-1] * wide + item[1:], doc[:-1] * wide + doc[1:]).sum() < least * n - 2:
+    if np.isin(item[:-1] * WIDE + item[1:], doc[:-1] * WIDE + doc[1:]).sum() < least * n - 2:
         return 0.0, 0.0, 0.0, 0.0, 0
     score, a, b, c, d, matches = align(item, doc)
+    if 2 * score < least * n:  # a second piece never scores more
+        return 0.0, 0.0, 0.0, 0.0, 0
     pieces = [(score, a, b, matches)]
     if score >= 0.15 * n:
         rest = doc.copy()
@@ -240,7 +285,7 @@ def find_leaks(
     """``key, item_key, similarity, net, span, matched, pieces, answer_found, kind`` of documents that hold items.
 
     ``kind`` is copy (about half of the item's words or more, in order, in one or two pieces) or paraphrase
-    (less, but the answer stands in the document). Each copy of a document counts for itself; repeated rows
+    (less, but the answer stands in the document, and rare words match or a passage is nearer than ``cosine``). Each copy of a document counts for itself; repeated rows
     come out once. Null and empty texts hold nothing; items without words are never found; empty tables
     give an empty result. The items (at most 100,000) are gathered at the driver, documents never.
     """
@@ -338,28 +383,50 @@ def find_leaks(
     latent[[k for k in range(len(latent)) if k not in set(has)]] = 0
 
     item_terms, answer_terms, item_ids = terms.items, terms.answers, terms.item_ids  # not the words, which are large to send
+    signs = Signs(item_terms)
+    heavy_terms = [np.unique(x[weight[x] >= RARE * max(float(weight[x].max(initial=0)), 1e-9)]) for x in item_terms]
+
+    def similarities(ids: list[np.ndarray], pairs: list[tuple[int, int]]) -> list[tuple[float, bool]]:
+        """Each pair's greatest cosine of a passage and the item, and whether one is near in both spaces."""
+        chosen = sorted({d for d, _ in pairs})
+        at = {d: n for n, d in enumerate(chosen)}
+        best, near = [0.0] * len(pairs), [False] * len(pairs)
+        doc_of, row, term, value = passages([ids[d] for d in chosen], weight, window)
+        for first, m in dense(row, term, value, n_terms):
+            x = m @ basis
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+            docs = doc_of[first : first + len(m)]
+            for n, (d, k) in enumerate(pairs):
+                lo, hi = np.searchsorted(docs, [at[d], at[d] + 1])
+                if lo < hi:
+                    sim = x[lo:hi] @ latent[k]
+                    best[n] = max(best[n], float(sim.max()))
+                    near[n] = near[n] or bool(((sim >= cosine) & (m[lo:hi] @ item_rows[k] >= EXACT)).any())
+        return list(zip(best, near))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = np.zeros(n_terms, bool)
         for part, ids in batches_of(batches):
-            doc_of, row, term, value = passages(ids, weight, window)
-            pairs: dict[tuple[int, int], float] = {}
-            for first, m in dense(row, term, value, n_terms):
-                x = m @ basis
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-                sim = x @ latent.T
-                for r, k in np.argwhere(sim >= cosine):
-                    if float(m[r] @ item_rows[k]) < EXACT:
-                        continue
-                    pair = (int(doc_of[first + r]), int(k))
-                    pairs[pair] = max(pairs.get(pair, 0.0), float(sim[r, k]))
-            out: list[list] = [[] for _ in range(9)]
-            keys = part.column(0).to_pylist()
-            for (d, k), s in sorted(pairs.items()):
-                answered = bool(len(answer_terms[k])) and bool(np.isin(answer_terms[k], ids[d]).all())
+            good: dict[tuple[int, int], tuple] = {}
+            marked = -1
+            for d, k, shared in signs.candidates(ids):
+                if d != marked:
+                    there[:], marked = False, d
+                    there[ids[d][ids[d] >= 0]] = True
+                answered = bool(len(answer_terms[k])) and bool(there[answer_terms[k]].all())
+                # a copy needs more neighbours than a paraphrase, and one of the weighty words
+                if not answered and (shared < NET * signs.lengths[k] - signs.spare[k] or not there[heavy_terms[k]].any()):
+                    continue
                 net, span, matched, rare, n = held(item_terms[k], ids[d], PARAPHRASE if answered else NET, weight)
                 copy = net >= NET and span >= SPAN and rare >= RARE_SHARE
                 if copy or (net >= PARAPHRASE and answered):
-                    for c, v in zip(out, (keys[d], item_ids[k], s, net, span, matched, n, answered, "copy" if copy else "paraphrase")):
+                    good[d, k] = (net, span, matched, n, answered, copy, copy or rare >= RARE_SHARE)
+            out: list[list] = [[] for _ in range(9)]
+            keys = part.column(0).to_pylist()
+            for (d, k), (s, near) in zip(good, similarities(ids, list(good)) if good else []):
+                *shares, copy, sure = good[d, k]
+                if sure or near:
+                    for c, v in zip(out, (keys[d], item_ids[k], s, *shares, "copy" if copy else "paraphrase")):
                         c.append(v)
             kinds = [part.schema.field(0).type, pa.int64() if item_kind == "bigint" else pa.string() if item_kind == "string" else pa.int32(), *[pa.float64()] * 4, pa.int32(), pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["a", "b", "c", "d", "e", "f", "g", "h", "i"])

@@ -75,3 +75,28 @@ def test_operator_corner_cases(spark):
     assert sorted((str(r.doc_id), r.item_id, r.kind) for r in got) == [("1", 1, "copy"), ("4", 1, "copy"), ("None", 1, "copy")]
     none = F.lit(False)
     assert L.find_leaks(docs.where(none), items).count() == 0 and L.find_leaks(docs, items.where(none)).count() == 0
+
+
+def prose(rng, n):
+    return " ".join(rng.choice("river garden window summer music kitchen morning bicycle paper yellow quiet under behind toward winter market".split()) for _ in range(n))
+
+
+def test_two_far_pieces_of_a_quarter_each_are_found(spark):
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4))
+    ev = [(i, " ".join(name() if j % 3 == 0 else rng.choice("the file states that of paid for report in and".split()) for j in range(40)), "none") for i in range(40)]
+    texts = []
+    for d in range(200):
+        w = ev[d % 40][1].split()
+        texts.append((d, " ".join([prose(rng, 30), *w[:10], prose(rng, 200), *w[20:30], prose(rng, 60)]) if d < 40 else prose(rng, 120) + " the file states that of paid for report in and"))
+    got = {(r.doc_id, r.item_id) for r in L.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(ev, "item_id long, text string, answer string")).where("kind = 'copy'").collect()}
+    assert got == {(d, d) for d in range(40)}
+
+
+def test_candidates_miss_nothing_that_is_held():
+    rng = np.random.default_rng(2)
+    items = [rng.integers(0, 60, n).astype(np.int32) for n in (1, 3, 6, 9, 20, 40)]
+    docs = [np.concatenate([np.full(9, -1), x[: len(x) // 2], rng.integers(-1, 60, 80), x[len(x) // 2 :]]).astype(np.int32) for x in items for _ in range(5)]
+    got = {(d, k) for d, k, _ in L.Signs(items).candidates(docs, most=40)}
+    held = {(d, k) for d, x in enumerate(docs) for k, i in enumerate(items) if L.held(i, x)[0] >= L.PARAPHRASE}
+    assert held and held <= got
