@@ -4,7 +4,8 @@
    evaluation items; a longer word one edit away from a term counts as the term. Other words weigh nothing
    in the product with an item, so the term space is that of the items, whatever the corpus holds.
 2. Documents are cut into overlapping passages, rows of a TF-IDF matrix whose document frequencies are
-   counted over all documents. Terms of more than a tenth of the documents get no weight.
+   counted over all documents. Every term keeps some weight, as an item that leaked often makes its own
+   words common.
 3. A randomised SVD: each task multiplies its passages with random vectors and back, the sums give a basis
    (with the items as weighted rows, so that the space keeps what tells items apart), a second pass gives
    the small matrix whose eigenvectors turn the basis into singular vectors. What leaves a task is
@@ -36,7 +37,6 @@ WINDOW, DIMENSIONS, OVERSAMPLING, COSINE, EXACT = 56, 112, 16, 0.64, 0.40
 NET, SPAN, PARAPHRASE = 0.36, 0.465, 0.25
 #: Words of at least so much of an item's greatest weight count as rare, and this share of them must match.
 RARE, RARE_SHARE = 0.6, 0.5
-COMMON = 0.1
 MOST_ITEMS = 100_000
 WIDE = np.int64(1) << np.int64(32)
 WORD = re.compile(r"\w+")  # underscores are markup and gone by then
@@ -333,7 +333,7 @@ def find_leaks(
     for t, n in bounded(counted, n_terms + 1, "document frequencies"):
         df[t] = n
     n_docs, df = df[n_terms], df[:n_terms]
-    weight = np.where(df <= max(COMMON * n_docs, 5), np.log((n_docs + 1) / (df + 1)) + 0.1, 0).astype(np.float32)
+    weight = (np.log((n_docs + 1) / (df + 1)) + 0.1).astype(np.float32)
     _, i_row, i_term, i_value = passages(terms.items, weight, max(window, max(map(len, terms.items)) * 2))
     item_rows = np.zeros((len(terms.items), n_terms), np.float32)
     has = [k for k, x in enumerate(terms.items) if (weight[x] > 0).any()]

@@ -100,3 +100,11 @@ def test_candidates_miss_nothing_that_is_held():
     got = {(d, k) for d, k, _ in L.Signs(items).candidates(docs, most=40)}
     held = {(d, k) for d, x in enumerate(docs) for k, i in enumerate(items) if L.held(i, x)[0] >= L.PARAPHRASE}
     assert held and held <= got
+
+
+def test_an_item_in_a_third_of_the_documents_is_found(spark):
+    ev, texts, _ = make()
+    rng = random.Random(9)
+    texts = [(d, f"{prose(rng, 50)} {ev[0][1]} {prose(rng, 50)}" if d % 3 == 0 else prose(rng, 100)) for d, _ in texts]
+    got = {(r.doc_id, r.item_id, r.similarity > 0.5) for r in L.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(ev, "item_id long, text string, answer string")).where("kind = 'copy'").collect()}
+    assert got == {(d, 0, True) for d, _ in texts if d % 3 == 0}
