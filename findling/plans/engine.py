@@ -7,11 +7,12 @@ import time
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from findling.functions import paths as P, text as X
+from findling.functions import filetypes as T, paths as P, text as X
 from findling.operators import embedding as E, folders as FO, fusion as FU, keyword as KW, mapview as MV, passages as PA, vector as VE
 from findling.operators.incremental import VersionedTarget, new_or_changed
 from findling.operators.scans import unchanged
 from findling.session import bounded, stored
+from findling.sources.containers import read_containers
 from findling.sources.documents import read_documents
 from findling.sources.walk import files_of, ruled
 
@@ -40,8 +41,12 @@ class Engine:
         self._files = VersionedTarget(spark, f"{self.root}/files", spark.createDataFrame([], FILES).schema, ["path_key"])
         self._passages = VersionedTarget(spark, f"{self.root}/passages", spark.createDataFrame([], PASSAGES).schema, ["file_id", "chunk"])
 
+    def _known(self) -> DataFrame:
+        return self._files.current().where("status <> 'gone'")
+
     def files(self) -> DataFrame:
-        return self._files.current()
+        """Files in the index, without the containers that were opened."""
+        return self._known().where("status <> 'container'")
 
     def passages(self) -> DataFrame:
         """Passages of each file's newest reading."""
@@ -49,18 +54,47 @@ class Engine:
         return p.join(f, ["file_id", "read_at"], "left_semi")
 
     def index(self, folder: str, folder_id: int = 1) -> int:
-        """Read what is new or changed in a folder; returns how many files that was."""
+        """Read what is new or changed in a folder; returns how many files that was.
+
+        Files inside archives and mails count as files of a changed container; what can't be opened is a row
+        with its reason. Files of ``folder_id`` that the walk no longer finds, and all inside them, are taken
+        out, so every folder needs an id of its own.
+        """
         at = time.time()
         found = files_of(self.spark, folder, content=True)
-        seen = ruled(found.select("path", "size", "mtime")).where("reason is null and decision in ('doc', 'text', 'code', 'image')")
+        kinds = "decision in ('doc', 'text', 'code', 'image')"
+        seen = ruled(found.select("path", "size", "mtime")).where(f"reason is null and ({kinds} or decision = 'archive')")
         keyed = seen.select(P.normcase(F.col("path")).alias("path_key"), "path", "size", "mtime", F.col("decision").alias("kind"))
-        todo = stored(new_or_changed(keyed, self.files(), ["path_key"], unchanged), "todo")
-        n = todo.count()
-        if not n:
+        keyed = stored(keyed, "seen")
+        own = stored(self._known().where(F.col("folder_id") == folder_id), "known")
+        todo = stored(new_or_changed(keyed, self._known(), ["path_key"], unchanged), "todo")
+        opening = todo.where((F.col("kind") == "archive") | (T.container_type(F.col("path")) == "mail"))
+        inside = read_containers(found.join(opening.select("path"), "path", "left_semi"))
+        inside = stored(inside, "inside")
+        rules = ruled(inside.select("path", "size", "mtime")).select("path", "reason", "decision")
+        inner = inside.join(rules.dropDuplicates(["path"]), "path").where(f"problem is not null or (reason is null and {kinds})")
+        inner = inner.withColumn("path_key", P.normcase(F.col("path")))
+        top = todo.select("path_key").withColumn("top", F.lit(True))
+        # a problem of a whole container is the container's own row
+        whole = inner.join(top, "path_key", "left_semi").groupBy("path_key").agg(F.max("problem").alias("trouble"))
+        inner = stored(inner.join(top, "path_key", "left_anti").dropDuplicates(["path_key"]), "inner")
+        # what a changed container no longer holds goes, as do files no longer found; the rest inside stays
+        kept = keyed.select("path_key").unionByName(inner.select("path_key"))
+        still = keyed.join(opening.select("path_key"), "path_key", "left_anti").select(F.col("path_key").alias("k"))
+        above = own.select("path_key", F.explode(P.ancestors(F.col("path_key"))).alias("k")).join(still, "k", "left_semi").select("path_key")
+        gone = stored(own.join(kept.unionByName(above).distinct(), "path_key", "left_anti"), "gone")
+        n, removed = todo.count() + inner.count(), gone.count()
+        if not n and not removed:
             return 0
-        read = read_documents(found.join(todo.select("path"), "path", "left_semi")).select("path", "text", "error")
+        bodies = found.join(todo.where("kind <> 'archive'").select("path"), "path", "left_semi").select("path", "content")
+        bodies = bodies.unionByName(inner.where("problem is null").select("path", "content"))
+        read = read_documents(bodies).select("path", "text", "error")
+        cols = ["path_key", "path", "size", "mtime", "kind", "trouble"]
+        inner = inner.select("path_key", "path", "size", "mtime", F.coalesce("decision", F.lit("archive")).alias("kind"), F.col("problem").alias("trouble"))
         # an id hangs on the path, so that a run repeated after a failure gives the same
-        entries = todo.join(read, "path", "left").withColumn("id", F.xxhash64("path_key").bitwiseAND((1 << 53) - 1))
+        entries = todo.join(whole, "path_key", "left").select(*cols).unionByName(inner.select(*cols))
+        entries = entries.join(read, "path", "left").withColumn("id", F.xxhash64("path_key").bitwiseAND((1 << 53) - 1))
+        entries = entries.withColumn("error", F.coalesce("error", F.when((F.col("kind") == "archive") | F.col("text").isNull(), F.concat(F.lit("!"), F.col("trouble")))))
         entries = stored(entries, "read")
         cut = PA.chunk(entries.where("text is not null"), ["id", "path", "kind"])
         titled = cut.withColumn("embedded", PA.embedded_text(P.base_name(F.col("path")), F.col("text")))
@@ -68,13 +102,14 @@ class Engine:
         rows = vectors.select(F.col("id").alias("file_id"), F.col("chunk").cast("int").alias("chunk"), F.lit(folder_id).cast("long").alias("folder_id"), "kind", F.when(F.col("chunk") == 0, P.base_name(F.col("path"))).otherwise("").alias("name"), "text", F.col("page").cast("int").alias("page"), "vector", F.lit(at).alias("read_at"))
         self._passages.publish(rows, f"run-{at}")
         counts = self._passages.deltas().where(F.col("read_at") == at).groupBy("file_id").agg(F.count("*").alias("chunks"))
-        status = F.when(F.col("error").isNull(), "indexed").when(F.col("error").rlike("^!(damaged|no_memory|gone|no_access)"), "error").otherwise("skipped")
+        status = F.when(F.col("error").isNull() & (F.col("kind") == "archive"), "container").when(F.col("error").isNull(), "indexed").when(F.col("error").rlike("^!(damaged|no_memory|gone|no_access)"), "error").otherwise("skipped")
         saved = entries.join(counts.withColumnRenamed("file_id", "id"), "id", "left").select(
             "path_key", "id", F.lit(folder_id).cast("long").alias("folder_id"), "path", "size", "mtime", "kind", status.alias("status"),
             F.coalesce("chunks", F.lit(0)).alias("chunks"), "error", F.lit(at).alias("indexed_at"), F.lit(0).alias("muted"),
         )
-        self._files.publish(saved, f"run-{at}")
-        return n
+        out = gone.withColumn("status", F.lit("gone")).withColumn("chunks", F.lit(0).cast("long")).withColumn("indexed_at", F.lit(at))
+        self._files.publish(saved.unionByName(out.select(*saved.columns)), f"run-{at}")
+        return n + removed
 
     def search(self, query: str, limit: int = 30, kind: str | None = None) -> DataFrame:
         """Files for a query, fused from words and vectors, the likely ones first."""

@@ -115,7 +115,11 @@ def walk(path: str, data: bytes, nested: bool = True, most_entries: int = MOST_E
             continue
         if trouble:
             yield whole, size, mtime, None, trouble
-        elif kind(inner) in ("zip", "tar", "single", "mail") and body is not None:
+        elif kind(inner) == "mail" and body is not None:
+            yield whole, size, mtime, body, None  # a mail is a document, too
+            if depth == 0 and nested:
+                yield from (r for r in walk(whole, body, nested, most_entries, most_bytes, 1) if r[0] != whole)
+        elif kind(inner) in ("zip", "tar", "single") and body is not None:
             if depth == 0 and nested:
                 yield from walk(whole, body, nested, most_entries, most_bytes, 1)
             else:

@@ -295,3 +295,45 @@ def test_engine(spark, tmp_path):
         e.dimension(256)
     with pytest.raises(Invalid):
         e.search("x", limit=101)
+
+
+def test_engine_indexes_containers_and_takes_out_what_is_gone(spark, tmp_path):
+    from email.message import EmailMessage
+
+    from findling.plans.engine import Engine
+
+    root = tmp_path / "docs"
+    root.mkdir()
+    mail = EmailMessage()
+    mail["Subject"] = "plans"
+    mail.set_content("see the mailbody")
+    mail.add_attachment("attached walrus", filename="w.txt")
+    (root / "m.eml").write_bytes(mail.as_bytes())
+    (root / "plain.txt").write_text("a plain zebra")
+    (root / "bad.zip").write_bytes(b"nope")
+
+    def zipped(**files):
+        with zipfile.ZipFile(root / "o.zip", "w") as z:
+            for n, t in files.items():
+                z.writestr(f"in/{n}.txt", t)
+            z.writestr("n.eml", mail.as_bytes())
+
+    zipped(a="packed giraffe", b="packed ostrich")
+    e = Engine(spark, f"file://{tmp_path}/index")
+    paths = lambda: {r.path for r in e.files().collect()}
+    inside = {"o.zip\\n.eml", "o.zip\\n.eml\\w.txt", "m.eml\\w.txt"}
+    e.index(f"file://{root}")
+    assert paths() == {"m.eml", "plain.txt", "bad.zip", "o.zip\\in\\a.txt", "o.zip\\in\\b.txt", *inside}
+    assert e.files().where("path = 'bad.zip'").first()["error"] == "!damaged_archive"
+    texts = lambda: " ".join(r.text for r in e.passages().collect())
+    assert all(w in texts() for w in ("giraffe", "ostrich", "walrus", "mailbody", "zebra"))
+    (root / "bad.zip").unlink()
+    (root / "plain.txt").unlink()
+    assert e.index(f"file://{root}") == 2 and e.index(f"file://{root}") == 0
+    assert paths() == {"m.eml", "o.zip\\in\\a.txt", "o.zip\\in\\b.txt", *inside} and "zebra" not in texts()
+    zipped(a="packed giraffe and more")
+    e.index(f"file://{root}")
+    assert paths() == {"m.eml", "o.zip\\in\\a.txt", *inside} and "ostrich" not in texts()
+    (root / "o.zip").unlink()
+    e.index(f"file://{root}")
+    assert paths() == {"m.eml", "m.eml\\w.txt"}
