@@ -2,31 +2,36 @@
 
 Vectors are scaled to unit length; identical ones form a class that is looked up once. An index is fitted on
 a bounded sample: the directions in which the collection varies more than its noise, scaled to unit length
-there. Each of several tables hashes by p-stable projections (random directions, shifted and cut into slots
-of one width); a vector lies in one bucket of each table. A query visits its own bucket and the perturbed
-ones in the order of their estimated success, the squared distances to the slots' borders. Candidates of all
-tables are merged and ranked by exact cosine; the hash decides only what is compared.
-
-Buckets that agree in their leading slots form a cell, and a query is sent once to every cell it probes
-with the list of buckets to visit there. A cell is worked off by one task as matrix products; a cell with
-more rows than a block holds is split into blocks of rows times blocks of queries, so a dense region that
-holds a third of all vectors costs many tasks, never a big one, and loses no candidate.
+there, and how far neighbours lie apart. Each of several tables hashes by p-stable projections (random
+directions, shifted and cut into slots of one width), as many of them as a place needs: a bucket of more
+than ``LEAF`` rows is divided by the next function, so buckets stay as small however many vectors there are
+and however dense a region is. A query visits its own bucket and the perturbed ones in the order of their
+estimated success, the probability that a neighbour's projections fall into a bucket's slots, until the
+buckets that remain hold less than a stated share of it. Candidates of all tables are merged and ranked by
+cosine; the hash decides only what is compared.
+
+Buckets that agree in their first functions form a cell of about ``CELL`` rows, and a query is sent once to
+every cell it visits. The cells come from the slots of at most ``CODES`` sampled rows, the buckets within a
+cell from all of its rows, in the task that compares them as matrix products. A cell that turns out larger
+than ``BLOCK`` is split into blocks of rows times blocks of queries, which loses no candidate.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from findling.session import bounded, stored
 
-SAMPLE = 20_000
-BLOCK, QUERIES = 8_192, 16_384
+SAMPLE, CODES = 20_000, 1_000_000
+TREES, WIDTH, DEPTH, KEPT, SLOTS = 2, 3.5, 20, 32, 8
+LEAF, CELL, BLOCK, QUERIES = 64, 16_384, 32_768, 16_384
+SURE, FAINT, MISSING = 0.98, 1e-5, 1 << 40
 BIG_CLASS = 50_000
 
 
@@ -79,67 +84,167 @@ def unit_vectors(rows: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     return made.groupBy("key").agg(F.min(F.struct("class", "unit")).alias("r")).select("key", "r.class", "r.unit")
 
 
+@dataclass
+class Tree:
+    """One table: functions in order, and the cells that their slots' prefixes name."""
+
+    functions: np.ndarray  # kept x depth, scaled by the width
+    shifts: np.ndarray
+    levels: list[np.ndarray]  # node x slot -> node of the next level, or -1 - cell
+    depths: np.ndarray  # of every cell
+
+
 @dataclass
 class Index:
-    """Projections of all tables; small, and sent to the tasks with their code."""
+    """Projections and cells of all tables; small, and sent to the tasks with their code."""
 
     directions: np.ndarray  # dim x kept
     mean: np.ndarray
-    tables: list[tuple[np.ndarray, np.ndarray]]  # kept x functions (scaled by the width), shifts
-    deltas: np.ndarray  # perturbations with at most three slots changed
-    probes: int
-    lead: int = 2  # slots that name a cell
+    spread: float  # of a neighbour's projection around the query's, in slots
+    trees: list[Tree]
+    leaf: int
+    sure: float
 
     @classmethod
-    def fit(cls, sample: np.ndarray, n: int, seed: int = 11, tables: int | None = None, functions: int | None = None, width: float | None = None, probes: int | None = None) -> Index:
-        """An index for ``n`` vectors; more vectors get more functions, so that buckets stay small."""
-        f, w, t, p, lead = (6, 1.7, 5, 30, 1) if n < 400_000 else (8, 2.0, 6, 30, 2)
-        w *= max(1.0, 1024 / max(n, 1))  # few vectors: wider slots, down to one that holds all
-        f, w, t, p = functions or f, width or w, tables or t, probes or p
+    def fit(cls, sample: np.ndarray, k: int = 5, seed: int = 11, trees: int = TREES, width: float = WIDTH, leaf: int = LEAF, sure: float = SURE) -> Index:
+        """Projections from a sample: its directions above the noise, and how far its neighbours lie apart there."""
         rng = np.random.default_rng(seed)
         mean = sample.mean(0)
         values, vectors = np.linalg.eigh(np.cov((sample - mean).T) if len(sample) > 1 else np.eye(sample.shape[1]))
         order = np.argsort(-values)
-        dim = int(np.clip((values > 1.4 * np.median(values)).sum(), min(16, len(values)), min(40, len(values))))
+        dim = int(np.clip((values > 1.4 * np.median(values)).sum(), min(16, len(values)), min(KEPT, len(values))))
         directions = vectors[:, order[:dim]].astype(np.float32)
-        f = min(f, dim)
+        y = cls._project(sample, mean, directions)
+        depth = min(DEPTH, dim)
         made = []
-        x = cls._project(sample, mean, directions)
-        for _ in range(t):
-            g, _ = np.linalg.qr(rng.standard_normal((dim, f)))
-            scale = w * max(float((x @ g).std()), 1e-6)
-            made.append(((g / scale).astype(np.float32), rng.random(f).astype(np.float32)))
-        deltas = np.array([d for d in itertools.product((0, -1, 1), repeat=f) if sum(map(bool, d)) <= 3], np.int64)
-        return cls(directions, mean.astype(np.float32), made, deltas, min(p, len(deltas)), lead)
+        for _ in range(trees):
+            g, _ = np.linalg.qr(rng.standard_normal((dim, depth)))
+            scale = width * max(float((y @ g).std()), 1e-6)
+            made.append(Tree((g / scale).astype(np.float32), rng.random(depth).astype(np.float32) + np.float32(SLOTS / 2 - 0.5), [], np.zeros(1, np.int64)))
+        asked = rng.choice(len(sample), min(len(sample), 500), replace=False)
+        s = sample[asked] @ sample.T
+        s[np.arange(len(asked)), asked] = -2
+        k = min(k, len(sample) - 1)
+        spread = 1.0
+        if k > 0:
+            near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            apart = float(np.sqrt(((y[near] - y[asked][:, None]) ** 2).mean()))
+            spread = max(apart / (width * max(float(y.std()), 1e-6)), 1e-3)
+        return cls(directions, mean.astype(np.float32), spread, made, leaf, sure)
 
     @staticmethod
     def _project(x: np.ndarray, mean: np.ndarray, directions: np.ndarray) -> np.ndarray:
         y = (x - mean) @ directions
         return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
 
-    def hashes(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For every table: slots of every row, and the distance to the lower border as a share of the width."""
+    def places(self, x: np.ndarray) -> list[np.ndarray]:
+        """Of every table: the rows' projections in slots."""
         y = self._project(x, self.mean, self.directions)
-        for t, (g, b) in enumerate(self.tables):
-            z = y @ g + b
-            h = np.floor(z)
-            yield t, h.astype(np.int64), (z - h).astype(np.float32)
-
-    def code(self, t: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cell (table and leading slots) and bucket within the cell."""
-        s = np.clip(h + 64, 0, 127)
-        cell = (t * 128 + s[..., 0]) * 128 + (s[..., 1] if s.shape[-1] > 1 and self.lead > 1 else 0)
-        bucket = np.zeros(h.shape[:-1], np.int64)
-        for j in range(self.lead, s.shape[-1]):
-            bucket = bucket * 128 + s[..., j]
-        return cell, bucket
-
-    def visits(self, h: np.ndarray, rest: np.ndarray) -> np.ndarray:
-        """Slots of the buckets to visit, best first: rows x probes x functions."""
-        low, high = rest * rest, (1 - rest) * (1 - rest)
-        score = low @ (self.deltas == -1).T.astype(np.float32) + high @ (self.deltas == 1).T.astype(np.float32)
-        best = np.argpartition(score, self.probes - 1, axis=1)[:, : self.probes]
-        return h[:, None, :] + self.deltas[best]
+        return [y @ t.functions + t.shifts for t in self.trees]
+
+    def plant(self, codes: list[np.ndarray], scale: float, cell: int) -> None:
+        """Divide every table into cells of about ``cell`` rows; ``codes`` are slots of rows that stand for ``scale`` rows each."""
+        for t, h in zip(self.trees, codes):
+            t.levels, depths = grow(h, max(cell / scale, 1))[1:]
+            for level in t.levels:  # what no sampled row has goes with the nearest slot that one has
+                for node in level:
+                    there = np.flatnonzero(node != MISSING)
+                    node[:] = node[there[np.abs(there[None, :] - np.arange(SLOTS)[:, None]).argmin(1)]]
+            t.depths = depths
+
+    def cells(self, t: int, slots: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(slots), np.int64)
+        rows, node = np.arange(len(slots)), np.zeros(len(slots), np.int64)
+        for d, level in enumerate(self.trees[t].levels):
+            child = level[node, slots[rows, d]]
+            done = child < 0
+            out[rows[done]] = -1 - child[done]
+            rows, node = rows[~done], child[~done]
+        return out
+
+    def visits(self, t: int, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, cells to visit, and what share of a cell's estimated success may stay unvisited in it."""
+        row, cell, p = descend(z, self.trees[t].levels, self.spread)
+        both, back = np.unique(row * len(self.trees[t].depths) + cell, return_inverse=True)  # a cell may lie in several slots
+        row, cell = np.divmod(both, len(self.trees[t].depths))
+        p = np.bincount(back, p, len(both))
+        left = (1 - self.sure) / 2
+        keep, share = most_likely(row, p, left)
+        row, cell, share = row[keep], cell[keep], share[keep]
+        number = np.bincount(row, minlength=len(z))[row]
+        return row, cell, (left / number / share).astype(np.float32)
+
+
+def slots_of(z: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(z), 0, SLOTS - 1).astype(np.int8)
+
+
+def grow(slots: np.ndarray, most: float, start: int = 0) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """A prefix tree over rows of slots: nodes of more than ``most`` rows are divided by the next function.
+
+    Gives each row's leaf, the levels (node x slot -> node of the next level, or -1 - leaf), and the leaves' depths.
+    """
+    n, depth = slots.shape
+    leaf, levels, depths = np.zeros(n, np.int64), [], []
+    rows, node, nodes = np.arange(n), np.zeros(n, np.int64), 1
+    if n <= most or start >= depth:
+        return leaf, [], np.array([start])
+    for d in range(start, depth):
+        key, back, count = np.unique(node * SLOTS + slots[rows, d], return_inverse=True, return_counts=True)
+        done = (count <= most) | (d == depth - 1)
+        child = np.empty(len(key), np.int64)
+        child[done] = -1 - (len(depths) + np.arange(done.sum()))
+        child[~done] = np.arange((~done).sum())
+        depths += [d + 1] * int(done.sum())
+        level = np.full(nodes * SLOTS, MISSING)
+        level[key] = child
+        levels.append(level.reshape(nodes, SLOTS))
+        to = child[back]
+        leaf[rows[to < 0]] = -1 - to[to < 0]
+        rows, node, nodes = rows[to >= 0], to[to >= 0], int((~done).sum())
+        if not nodes:
+            break
+    return leaf, levels, np.array(depths)
+
+
+def normal(x: np.ndarray) -> np.ndarray:
+    """The normal distribution function, off by less than 0.0004."""
+    return 0.5 * (1 + np.tanh(0.7978845608 * x * (1 + 0.044715 * x * x)))
+
+
+def descend(z: np.ndarray, levels: list[np.ndarray], spread: float, start: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, leaf and probability that a neighbour of the row, whose projections lie around the row's own, is in that leaf."""
+    row, node, p = np.arange(len(z)), np.zeros(len(z), np.int64), np.ones(len(z), np.float32)
+    if not levels:
+        return row, node, p
+    found = []
+    edges = np.arange(1, SLOTS, dtype=np.float32)
+    for d, level in enumerate(levels, start):
+        under = np.concatenate([np.zeros((len(z), 1), np.float32), normal((edges - z[:, d : d + 1]) / spread), np.ones((len(z), 1), np.float32)], axis=1)
+        chance = np.diff(under, axis=1)[row] * p[:, None]
+        child = level[node]
+        at, slot = np.nonzero((child != MISSING) & (chance > FAINT))
+        row, p, child = row[at], chance[at, slot], child[at, slot]
+        done = child < 0
+        found.append((row[done], -1 - child[done], p[done]))
+        row, node, p = row[~done], child[~done], p[~done]
+        if not len(row):
+            break
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def most_likely(row: np.ndarray, p: np.ndarray, left: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries to visit, in order of success until no more than a share ``left`` of a row's sum remains; and their shares."""
+    if not len(row):
+        return np.zeros(0, np.int64), np.zeros(0, np.float32)
+    total = np.bincount(row, p)
+    share = p / np.maximum(total[row], 1e-30)
+    order = np.lexsort((-share, row))
+    r, s = row[order], share[order]
+    run = np.cumsum(s, dtype=np.float64)
+    start = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+    before = run - s - np.repeat((run - s)[start], np.diff(np.append(start, len(r))))
+    return order[before < 1 - (left if np.isscalar(left) else left[r])], share
 
 
 def pack16(u: np.ndarray) -> list[bytes]:
@@ -156,120 +261,171 @@ def unpack16(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def nearest(vectors: DataFrame, k: int, dim: int, kind: str, index: Index | None = None, queries=None, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
+def nearest(vectors: DataFrame, k: int, dim: int, kind: str, index: Index | None = None, queries=None, cell: int = CELL, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
     """``key, other, similarity``: for every key of ``vectors`` (key, unit) its k nearest others found.
 
     ``queries``, a column over ``key``, restricts whose neighbours are looked for.
     """
     spark = vectors.sparkSession
+    n = vectors.count()
     if index is None:
-        n = vectors.count()
-        sample = bounded(vectors.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("unit"), SAMPLE, "sample")
+        share = min(1.0, 1.2 * SAMPLE / max(n, 1))
+        few = vectors if share == 1 else vectors.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+        sample = bounded(few.select("key", "unit").orderBy(F.xxhash64("key"), "key").limit(SAMPLE), SAMPLE, "sample")
         if not sample:
             return spark.createDataFrame([], f"key {kind}, other {kind}, similarity double")
-        index = Index.fit(np.stack([np.frombuffer(r[0], np.float32) for r in sample]), n)
+        index = Index.fit(np.stack([np.frombuffer(r[1], np.float32) for r in sample]), k)
     marked = vectors.select("key", "unit", (F.lit(True) if queries is None else queries).alias("ask"))
 
+    def units(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                h = [slots_of(z).tobytes() for z in index.places(units(batch.slice(at, 4096).column(0)))]
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(h)], pa.binary())], ["slots"])
+
+    if not any(t.levels for t in index.trees):
+        share = min(1.0, CODES / max(n, 1) / 1.1)
+        some = vectors if share == 1 else vectors.where(F.pmod(F.xxhash64("key", F.lit(2)), F.lit(1 << 40)) < int(share * (1 << 40)))
+        parts: list[list[np.ndarray]] = [[] for _ in index.trees]
+        for (raw,) in bounded(some.select("unit").mapInArrow(code, "slots binary"), CODES, "slots") if n > cell else []:
+            for t, h in enumerate(np.frombuffer(raw, np.int8).reshape(len(parts), -1, index.trees[0].functions.shape[1])):
+                parts[t].append(h)
+        if n > cell:
+            codes = [np.concatenate(p) for p in parts]
+            index.plant(codes, n / len(codes[0]), cell)
+    offsets = np.cumsum([0, *[len(t.depths) for t in index.trees]])
+
     def emit(batches: Iterator[pa.RecordBatch], count: bool) -> Iterator[pa.RecordBatch]:
-        tally: dict[tuple[int, bool], int] = {}
+        tally: dict[bool, np.ndarray] = {False: np.zeros(offsets[-1], np.int64), True: np.zeros(offsets[-1], np.int64)}
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                u = np.frombuffer(b"".join(part.column(1).to_pylist()), np.float32).reshape(-1, dim)
-                ask = part.column(2).to_numpy(zero_copy_only=False)
-                asked = np.flatnonzero(ask)
-                for t, h, rest in index.hashes(u):
-                    cell, bucket = index.code(t, h)
-                    c, b = index.code(t, index.visits(h[asked], rest[asked])) if len(asked) else (np.zeros((0, 1), np.int64),) * 2
-                    order = np.argsort(c, axis=1, kind="stable")
-                    c, b = np.take_along_axis(c, order, 1), np.take_along_axis(b, order, 1)
-                    new = np.concatenate([np.ones((len(c), 1), bool), c[:, 1:] != c[:, :-1]], axis=1)
-                    starts = np.flatnonzero(new.ravel())
-                    q_cell = c.ravel()[starts]
+                u = units(part.column(1))
+                asked = np.flatnonzero(part.column(2).to_numpy(zero_copy_only=False))
+                packed = None if count else pa.array(pack16(u), pa.binary())
+                for t, z in enumerate(index.places(u)):
+                    own = offsets[t] + index.cells(t, slots_of(z))
+                    row, to, rest = index.visits(t, z[asked])
+                    row, to = asked[row], offsets[t] + to
                     if count:
-                        for cells, role in ((cell, False), (q_cell, True)):
-                            for v, m in zip(*np.unique(cells, return_counts=True)):
-                                tally[int(v), role] = tally.get((int(v), role), 0) + int(m)
+                        tally[False] += np.bincount(own, minlength=offsets[-1])
+                        tally[True] += np.bincount(to, minlength=offsets[-1])
                         continue
-                    packed = pa.array(pack16(u), pa.binary())
-                    q_row = asked[starts // c.shape[1]]
-                    ends = np.append(starts, c.size).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cell), pa.array(np.zeros(len(u), bool)), part.column(0), packed, pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1, dtype=np.int32)), pa.array(bucket))],
-                        ["cell", "ask", "key", "vec", "buckets"],
-                    )
+                    at_ = pa.array(np.concatenate([np.arange(len(u)), row]))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(q_cell), pa.array(np.ones(len(q_cell), bool)), part.column(0).take(pa.array(q_row)), packed.take(pa.array(q_row)), pa.ListArray.from_arrays(pa.array(ends), pa.array(b.ravel()))],
-                        ["cell", "ask", "key", "vec", "buckets"],
+                        [pa.array(np.concatenate([own, to])), pa.array(np.repeat([False, True], [len(u), len(row)])), part.column(0).take(at_), packed.take(at_), pa.array(np.concatenate([np.zeros(len(u), np.float32), rest]))],
+                        ["cell", "ask", "key", "vec", "rest"],
                     )
         if count:
-            keys = list(tally)
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in keys], pa.int64()), pa.array([r for _, r in keys], pa.bool_()), pa.array([tally[x] for x in keys], pa.int64())], ["cell", "ask", "n"])
+            for role, numbers in tally.items():
+                there = np.flatnonzero(numbers)
+                yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(np.full(len(there), role)), pa.array(numbers[there])], ["cell", "ask", "n"])
 
     counted = marked.mapInArrow(lambda b: emit(b, True), "cell bigint, ask boolean, n bigint").groupBy("cell", "ask").agg(F.sum("n").alias("n"))
-    most = len(index.tables) * 128 * 128 * 2  # cells by construction
     blocks: dict[int, list[int]] = {}
-    for cell, ask, n in bounded(counted, most, "cells"):
-        blocks.setdefault(cell, [1, 1])[int(ask)] = max(1, -(-n // (query_block if ask else block)))
+    for number, ask, rows_ in bounded(counted, 2 * int(offsets[-1]), "cells"):  # both roles of every cell
+        blocks.setdefault(number, [1, 1])[int(ask)] = max(1, -(-rows_ // (query_block if ask else block)))
     split = {c: v for c, v in blocks.items() if v != [1, 1]}
-    rows = marked.mapInArrow(lambda b: emit(b, False), f"cell bigint, ask boolean, key {kind}, vec binary, buckets array<bigint>")
-    if split:  # big cells only; the others are one block
-        parts = spark.createDataFrame([(c, a, b) for c, (a, b) in split.items()], "cell bigint, nb bigint, nq bigint")
-        rows = rows.join(F.broadcast(parts), "cell", "left").fillna(1, ["nb", "nq"])
+    rows = marked.mapInArrow(lambda b: emit(b, False), f"cell bigint, ask boolean, key {kind}, vec binary, rest float")
+    if split:  # the others are one block
+        parts_ = spark.createDataFrame([(c, a, b) for c, (a, b) in split.items()], "cell bigint, nb bigint, nq bigint")
+        rows = rows.join(F.broadcast(parts_), "cell", "left").fillna(1, ["nb", "nq"])  # at most as many rows as cells
         own = F.pmod(F.xxhash64("key"), F.when(F.col("ask"), F.col("nq")).otherwise(F.col("nb")))
         rows = rows.withColumn("own", own).withColumn("other_block", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("ask"), F.col("nb")).otherwise(F.col("nq")) - 1)))
-        rows = rows.select("cell", F.when(F.col("ask"), F.col("other_block")).otherwise(F.col("own")).alias("i"), F.when(F.col("ask"), F.col("own")).otherwise(F.col("other_block")).alias("j"), "ask", "key", "vec", "buckets")
+        rows = rows.select("cell", F.when(F.col("ask"), F.col("other_block")).otherwise(F.col("own")).alias("i"), F.when(F.col("ask"), F.col("own")).otherwise(F.col("other_block")).alias("j"), "ask", "key", "vec", "rest")
     else:
-        rows = rows.select("cell", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "ask", "key", "vec", "buckets")
-    out = f"key {kind}, other {kind}, similarity float"
+        rows = rows.select("cell", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "ask", "key", "vec", "rest")
+    names = ["key", "others", "similarities"]
 
     def compare(table: pa.Table) -> pa.Table:
         ask = table.column("ask").to_numpy()
         base, asked = table.filter(pa.array(~ask)).combine_chunks(), table.filter(pa.array(ask)).combine_chunks()
-        names = ["key", "other", "similarity"]
-        empty = pa.table([table.column("key").slice(0, 0), table.column("key").slice(0, 0), pa.array([], pa.float32())], names)
         if not base.num_rows or not asked.num_rows:
-            return empty
-        b_vec, b_key = unpack16(base.column("vec"), dim), base.column("key").to_numpy()
-        b_bucket = base.column("buckets").combine_chunks().flatten().to_numpy()
-        order = np.argsort(b_bucket, kind="stable")
-        b_vec, b_key, b_bucket = b_vec[order], b_key[order], b_bucket[order]
-        q_vec, q_key = unpack16(asked.column("vec"), dim), asked.column("key").to_numpy()
-        lists = asked.column("buckets").combine_chunks()
-        q_bucket = lists.flatten().to_numpy()
-        q_row = np.repeat(np.arange(len(q_key)), np.diff(lists.offsets.to_numpy()))
-        order = np.argsort(q_bucket, kind="stable")
-        q_bucket, q_row = q_bucket[order], q_row[order]
-        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        values, first = np.unique(b_bucket, return_index=True)
-        last = np.append(first[1:], len(b_bucket))
-        lo, hi = np.searchsorted(q_bucket, values), np.searchsorted(q_bucket, values, side="right")
-        for a, z, x, y in zip(first, last, lo, hi):
-            for s in range(x, y, 4096):
-                rows_ = q_row[s : min(y, s + 4096)]
-                sim = q_vec[rows_] @ b_vec[a:z].T
-                sim[q_key[rows_][:, None] == b_key[None, a:z]] = -2
-                if z - a > k:
-                    top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-                    got.append((np.repeat(rows_, k), (a + top).ravel(), np.take_along_axis(sim, top, 1).ravel()))
-                else:
-                    got.append((np.repeat(rows_, z - a), np.tile(np.arange(a, z), len(rows_)), sim.ravel()))
-        if not got:
-            return empty
-        q, b, s = (np.concatenate(x) for x in zip(*got))
-        keep = s > -1.5
-        q, b, s = q[keep], b[keep], s[keep]
-        order = np.lexsort((b_key[b], -s, q))
-        q, b, s = q[order], b[order], s[order]
-        start = np.concatenate([[True], q[1:] != q[:-1]]) if len(q) else np.zeros(0, bool)
-        rank = np.arange(len(q)) - np.repeat(np.flatnonzero(start), np.diff(np.append(np.flatnonzero(start), len(q))))
-        keep = rank < k
-        return pa.table([pa.array(q_key[q[keep]]), pa.array(b_key[b[keep]]), pa.array(s[keep], pa.float32())], names)
-
-    found = rows.groupBy("cell", "i", "j").applyInArrow(compare, out)
-    merged = found.groupBy("key", "other").agg(F.max("similarity").alias("similarity"))
-    best = Window.partitionBy("key").orderBy(F.desc("similarity"), "other")
-    return merged.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k).select("key", "other", F.col("similarity").cast("double").alias("similarity"))
+            return pa.table([table.column("key").slice(0, 0), pa.array([], pa.list_(table.schema.field("key").type)), pa.array([], pa.list_(pa.float32()))], names)
+        number = table.column("cell")[0].as_py()
+        t = int(np.searchsorted(offsets, number, side="right")) - 1
+        start = int(index.trees[t].depths[number - offsets[t]])
+        b_vec, b_key, q_key = unpack16(base.column("vec"), dim), base.column("key").to_numpy(), asked.column("key").to_numpy()
+        found, levels, _ = grow(slots_of(index.places(b_vec)[t]), index.leaf, start)
+        order = np.argsort(found, kind="stable")
+        b_vec, b_key, found = b_vec[order], b_key[order], found[order]
+        ends = np.append(np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])), len(found))
+        by_key = np.argsort(b_key, kind="stable")
+        at = np.minimum(np.searchsorted(b_key[by_key], q_key), len(b_key) - 1)
+        own = np.where(b_key[by_key[at]] == q_key, by_key[at], -1)
+        width = min(k, len(b_key))
+        best, which = np.full((len(q_key), width), -2, np.float32), np.full((len(q_key), width), -1, np.int64)
+        rest = asked.column("rest").to_numpy()
+        for low in range(0, len(q_key), 4096):
+            q_vec = unpack16(asked.column("vec").slice(low, 4096), dim)
+            row, leaf, p = descend(index.places(q_vec)[t], levels, index.spread, start)
+            keep, _ = most_likely(row, p, rest[low : low + 4096])
+            row, leaf = row[keep], leaf[keep]
+            by_leaf = np.argsort(leaf, kind="stable")
+            row, leaf = row[by_leaf], leaf[by_leaf]
+            bounds = np.searchsorted(leaf, np.arange(len(ends)))
+            for a, z, x, y in zip(ends[:-1], ends[1:], bounds[:-1], bounds[1:]):
+                if x == y:
+                    continue
+                r = row[x:y]
+                s = q_vec[r] @ b_vec[a:z].T
+                mine = own[low + r]
+                inside = np.flatnonzero((mine >= a) & (mine < z))
+                s[inside, mine[inside] - a] = -2
+                better = np.flatnonzero(s.max(1) > best[low + r].min(1))
+                if len(better):
+                    to = low + r[better]
+                    both = np.concatenate([best[to], s[better]], axis=1)
+                    top = np.argpartition(-both, width - 1, axis=1)[:, :width]
+                    best[to] = np.take_along_axis(both, top, 1)
+                    which[to] = np.where(top < width, np.take_along_axis(which[to], np.minimum(top, width - 1), 1), a + top - width)
+        good = best > -1.5
+        size = good.sum(1)
+        keep = np.flatnonzero(size)
+        edges = pa.array(np.append(0, np.cumsum(size[keep])).astype(np.int32))
+        return pa.table([pa.array(q_key[keep]), pa.ListArray.from_arrays(edges, pa.array(b_key[which[good]])), pa.ListArray.from_arrays(edges, pa.array(best[good]))], names)
+
+    found = rows.groupBy("cell", "i", "j").applyInArrow(compare, f"key {kind}, others array<{kind}>, similarities array<float>")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in _with_end(batches):
+            if batch is not None:
+                held = pa.table(batch) if held is None else pa.concat_tables([held, pa.table(batch)])
+                if held.num_rows < 4096:
+                    continue
+                last = held.column("key")[held.num_rows - 1]
+                same = pc.equal(held.column("key"), last).to_numpy()
+                cut = len(same) - int(same[::-1].argmin()) if not same.all() else 0  # the last key may go on
+            else:
+                cut = held.num_rows if held is not None else 0
+            if not cut:
+                continue
+            done, held = held.slice(0, cut).combine_chunks(), held.slice(cut)
+            q = np.repeat(np.arange(cut), pc.list_value_length(done.column("others")).to_numpy())
+            keys, back = np.unique(done.column("key").to_numpy(), return_inverse=True)
+            q = back[q]
+            others, o = np.unique(done.column("others").combine_chunks().flatten().to_numpy(), return_inverse=True)
+            s = done.column("similarities").combine_chunks().flatten().to_numpy()
+            order = np.lexsort((-s, o, q))
+            q, o, s = q[order], o[order], s[order]
+            once = np.concatenate([[True], (q[1:] != q[:-1]) | (o[1:] != o[:-1])])
+            q, o, s = q[once], o[once], s[once]
+            order = np.lexsort((o, -s, q))
+            q, o, s = q[order], o[order], s[order]
+            start = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+            keep = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q)))) < k
+            yield pa.RecordBatch.from_arrays([pa.array(keys[q[keep]]), pa.array(others[o[keep]]), pa.array(s[keep].astype(np.float64))], ["key", "other", "similarity"])
+
+    return found.repartition("key").sortWithinPartitions("key").mapInArrow(merge, f"key {kind}, other {kind}, similarity double")
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def similar_files(rows: DataFrame, key: str = "file_id", vector: str = "vector", k: int = 5, dim: int = 256, index: Index | None = None, queries=None) -> DataFrame:
