@@ -4,8 +4,8 @@ Vectors are scaled to unit length; identical ones form a class that is looked up
 a bounded sample: the directions in which the collection varies more than its noise, scaled to unit length
 there, and how far neighbours lie apart. Each of several tables hashes by p-stable projections (random
 directions, shifted and cut into slots of one width), as many of them as a place needs: a bucket of more
-than ``LEAF`` rows is divided by the next function, so buckets stay as small however many vectors there are
-and however dense a region is. A query visits its own bucket and the perturbed ones in the order of their
+than ``LEAF`` rows is divided by the next function, so buckets stay small however many vectors there are;
+only a region denser than the functions tell apart is one bucket. A query visits its own bucket and the perturbed ones in the order of their
 estimated success, the probability that a neighbour's projections fall into a bucket's slots, until the
 buckets that remain hold less than a stated share of it. Candidates of all tables are merged and ranked by
 cosine; the hash decides only what is compared.
@@ -30,8 +30,8 @@ from findling.session import bounded, stored
 
 SAMPLE, CODES = 20_000, 1_000_000
 TREES, WIDTH, DEPTH, KEPT, SLOTS = 2, 3.5, 20, 32, 8
-LEAF, CELL, BLOCK, QUERIES = 64, 16_384, 32_768, 16_384
-SURE, FAINT, MISSING = 0.98, 1e-5, 1 << 40
+LEAF, CELL, BLOCK, QUERIES = 512, 16_384, 32_768, 16_384
+SURE, FAINT, MISSING = 0.9, 1e-5, 1 << 40
 BIG_CLASS = 50_000
 
 

@@ -54,15 +54,26 @@ def test_blocks_lose_nothing(spark):
     assert len(want & exact) >= 1197  # the order of two as similar as 16 bits can tell may differ
 
 
-def test_buckets_stay_small_in_dense_regions():
-    rng = np.random.default_rng(2)
-    x, _ = N.unit_rows(np.concatenate([rng.normal(0, 1, (3000, 32)), rng.normal(0, 0.05, (6000, 32)) + rng.normal(size=32)]))
+def test_buckets_stay_small():
+    x, _ = N.unit_rows(np.array([v for _, v in clusters(9000)]))
     index = N.Index.fit(x)
-    leaf, levels, depths = N.grow(N.slots_of(index.places(x)[0]), index.leaf)
+    slots = N.slots_of(index.places(x)[0])
+    leaf, levels, depths = N.grow(slots, 64)
     sizes = np.bincount(leaf)
-    assert (sizes[depths < N.DEPTH] <= index.leaf).all() and sizes.sum() == len(x)
+    assert (sizes[depths < slots.shape[1]] <= 64).all() and sizes.sum() == len(x)
     row, to, p = N.descend(index.places(x)[0][:50], levels, index.spread)
-    assert (np.bincount(row, p) < 1.001).all() and (np.bincount(row, p) > 0.5).all()
+    total = np.bincount(row, p)
+    assert (total < 1.001).all() and (total > 0.5).all()
+
+
+def test_dense_region_costs_blocks_and_loses_nothing(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=32)
+    rows = clusters(100) + [(100 + i, (centre + rng.normal(0, 0.02, 32)).astype(np.float32)) for i in range(400)]  # closer than any function tells apart
+    units = N.unit_vectors(frame(spark, rows), "file_id", "vector", 32).select("key", "unit").cache()
+    found = N.nearest(units, 3, 32, "bigint", cell=50, block=64, query_block=100).collect()
+    exact = {(i, j) for i, near in brute(rows, 3).items() for j in near}
+    assert len({(r.key, r.other) for r in found} & exact) / len(exact) >= 0.9
 
 
 def test_copies_ties_and_unusable_vectors(spark):
