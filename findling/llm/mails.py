@@ -7,8 +7,8 @@ sequence is found by dynamic programming. A span's score is made of
 
 * boundary cues: a separator, an introduction with a date and a verb of writing, header lines, an opening
   phrase, a blank line before;
-* its length: introductions take one to four lines, notices up to seven, signatures up to ten (without
-  limit after a separator), authored and quoted text any number;
+* its length: introductions take what 220 characters hold, notices a part of a paragraph or all of it,
+  signatures without a separator a paragraph or its end, all else any number of lines;
 * features of the whole span: how many lines hold contact data or a company, whether the joined text of a
   notice speaks of recipients and errors, or of seat and register, or of printing and nature; what follows.
 
@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame, functions as F
 from findling.llm.arrow import map_rows
 
 LABELS = ("authored", "quoted", "introduction", "original", "signature", "device", "notice", "warning")
-A, P, T, O, S, D, L, W = range(8)
+A, P, T, O, S, D, L, W, G = range(9)  # G: a signature that a separator opened, line by line; S in the end
 #: Patterns of boundary cues.
 PREFIX = re.compile(r"^[ \t]{0,3}(?:[^\W\d_a-z]{1,3}>|[>|»])")
 DATE = r"\d{1,2}[./-]\d{1,2}[./-]\d{2,4}|\d{4}-\d{1,2}-\d{1,2}|\d{1,2}\.? [^\W\d_]{3,12}\.? \d{4}"
 WROTE = r"\b(?:schrieb(?:en)?|wrote|a .{1,4}crit|escribi.{1,4})(?!\w)"
-INTRO = re.compile(rf"^(?=.{{10,220}}$)(?=.*(?:{DATE}|<[^<>\s]+@[^<>\s]+>)).*{WROTE}.*[::]\s*$", re.I)
+INTRO_CHARS = 220
+INTRO = re.compile(rf"^(?=.{{10,{INTRO_CHARS}}}$)(?=.*(?:{DATE}|<[^<>\s]+@[^<>\s]+>)).*{WROTE}.*[::]\s*$", re.I)
 INTRO_DATE = re.compile(rf"(?:am|on|le|el)\s+(?:{DATE})", re.I)
 WRITES = re.compile(WROTE, re.I)
 ORIGINAL = re.compile(
@@ -66,6 +67,7 @@ NOTICES = tuple(
     )
 )
 #: Words that the other sentences of a notice hold.
+NOTICE_LINES = 7
 NOTICE_MORE = re.compile(r"gesch.{1,4}ftsf.{1,4}hr|vorstand|aufsichtsrat|managing|director|g.{1,4}rant|gerente|administrador|\bUSt|\bVAT\b|\bTVA\b|\bNIF\b|e-?mail|courriel|correo|message|mensaje|nachricht", re.I)
 HINTS = ("vertraulich", "confiden", "regist", "hrb", "umwelt", "forest", "environ", "nature", "bosque", "ambiente", "arbre", "planet", "druck", "print", "imprim", "opinion", "sitz ", "ge social", "domicilio")
 WRITING = ("schrieb", "wrote", "crit", "escribi")
@@ -124,12 +126,12 @@ def decode(lines: list[Line], gaps: list[int], sender: str | None = None) -> lis
     if not any(x.cue for x in lines):
         return [A] * n  # no span but authored text can score above it
     names: frozenset[str] | None = None
-    best = [[-1e9] * 8 for _ in range(n + 1)]
-    back: list[list[tuple[int, int]]] = [[(0, 0)] * 8 for _ in range(n + 1)]
+    best = [[-1e9] * 9 for _ in range(n + 1)]
+    back: list[list[tuple[int, int]]] = [[(0, 0)] * 9 for _ in range(n + 1)]
     rest = [0.0] * (n + 1)  # what the cues from a line on are worth to an open quotation
     for i in range(n - 1, -1, -1):
         rest[i] = rest[i + 1] + lines[i].worth
-    start = [-1e9] * 8
+    start = [-1e9] * 9
     start[A] = 0.0
     best[0] = start
     for i in range(n):
@@ -151,20 +153,22 @@ def decode(lines: list[Line], gaps: list[int], sender: str | None = None) -> lis
             own -= 2.0
         score, source = max(
             (here[A], A), (here[P], P), (here[D], D), (here[L], L), (here[W], W),
-            (here[S] - (0.0 if x.postscript else 4.0), S), (here[T] - 3.0, T),
+            (here[S] - (0.0 if x.postscript else 4.0), S), (here[G] - (0.0 if x.postscript else 4.0), G), (here[T] - 3.0, T),
         )
         if score > -1e8:
             put(A, i + 1, score + own, source)
         if x.quoted:
-            score, source = max((here[A], A), (here[P], P), (here[T] + 1.0, T), (here[S], S), (here[D], D), (here[L], L), (here[W], W))
+            score, source = max((here[A], A), (here[P], P), (here[T] + 1.0, T), (here[S], S), (here[G], G), (here[D], D), (here[L], L), (here[W], W))
             if score > -1e8:
                 put(P, i + 1, score + 2.0, source)
             continue
+        if here[G] > -1e8 and not x.original and not x.postscript:
+            put(G, i + 1, here[G] + (1.0 if (x.contact or x.company or x.pipes) else -2.0 if x.words > 8 else 0.1), G)
         if not x.cue and (x.sentence or x.words > 8) and not (i + 1 < n and lines[i + 1].hint and not gaps[i + 1]):
             continue
         if x.intro:  # an introduction may be wrapped
-            joined = x.text
-            for k in range(1, 5):
+            joined, k = x.text, 1
+            while len(joined) <= INTRO_CHARS:
                 if INTRO.match(joined):
                     follows = i + k == n or lines[i + k].quoted or lines[i + k].head_from or lines[i + k].original
                     put(T, i + k, top + (5.0 if follows else 1.5), from_any)
@@ -172,6 +176,7 @@ def decode(lines: list[Line], gaps: list[int], sender: str | None = None) -> lis
                 if i + k >= n or lines[i + k].quoted or gaps[i + k]:
                     break
                 joined = joined.rstrip() + " " + lines[i + k].text.strip()
+                k += 1
         heads = 0
         j = i + (1 if (x.original or (x.separator and i + 1 < n and lines[i + 1].head_from)) else 0)
         if j < n and (lines[j].head_from or x.original):
@@ -186,30 +191,27 @@ def decode(lines: list[Line], gaps: list[int], sender: str | None = None) -> lis
             put(W, i + 1, top + (5.0 if i == 0 or lines[i - 1].warning else 2.5), from_any)
             if not x.sentence and i + 1 < n and not gaps[i + 1] and not lines[i + 1].cue and lines[i + 1].sentence and lines[i + 1].words < 8:
                 put(W, i + 2, top + 5.0, from_any)
-        # notices: up to seven lines that together make one, ending where a sentence does
+        # notices: lines of a paragraph that together make one, ending where a sentence does; beyond some lines
+        # only as a whole paragraph, so that a long one is read once and not from each of its lines
         if x.hint or (i + 1 < n and lines[i + 1].hint and not gaps[i + 1]):
-            joined = ""
-            for k in range(1, min(7, n - i) + 1):
+            parts = []
+            whole = not i or bool(gaps[i])
+            for k in range(1, (n - i if whole else min(NOTICE_LINES, n - i)) + 1):
                 y = lines[i + k - 1]
                 if y.quoted or y.separator or (k > 1 and (gaps[i + k - 1] or y.original)):
                     break
-                joined += " " + y.text.strip()
-                if not (SENTENCE.search(y.text) or i + k == n or gaps[i + k]):
+                parts.append(y.text.strip())
+                last = i + k == n or bool(gaps[i + k])
+                if not last and (k > NOTICE_LINES or not SENTENCE.search(y.text)):
                     continue
+                joined = " ".join(parts)
                 score = notice_score(joined)
                 if score > 0:
-                    ends = i + k == n or gaps[i + k] or lines[i + k].hint
-                    put(L, i + k, top + score - 0.35 * (k - 1) - (0.0 if ends else 1.5) + (0.5 if gaps[i] else 0.0), from_any)
+                    ends = last or lines[i + k].hint
+                    put(L, i + k, top + score - 0.35 * (min(k, NOTICE_LINES) - 1) - (0.0 if ends else 1.5) + (0.5 if gaps[i] else 0.0), from_any)
         # signatures
         if x.separator and not x.original:
-            score = 5.0
-            for k in range(1, n - i + 1):
-                y = lines[i + k - 1]
-                if k > 1:
-                    if y.quoted or y.original or y.postscript:
-                        break
-                    score += 1.0 if (y.contact or y.company or y.pipes) else -2.0 if y.words > 8 else 0.1
-                put(S, i + k, top + score, from_any)
+            put(G, i + 1, top + 5.0, from_any)
         elif (x.words <= 8 and not x.sentence or x.pipes) and not x.head_from:
             # without a separator: a paragraph of its own, or what stands under the closing formula and name
             offset = 0
@@ -218,7 +220,7 @@ def decode(lines: list[Line], gaps: list[int], sender: str | None = None) -> lis
             if offset <= 3 and (not offset or lines[i - 1].words <= 5):
                 score, proof = (0.5, -0.3, 0.0, -1.5)[offset], 0
                 names = sender_names(sender) if names is None else names
-                for k in range(1, min(10, n - i) + 1):
+                for k in range(1, n - i + 1):  # to the paragraph's end at most, from its first lines only
                     y = lines[i + k - 1]
                     if y.quoted or y.original or y.separator or y.postscript or y.device or (y.sentence and not y.pipes) or (k > 1 and gaps[i + k - 1] > 0):
                         break
@@ -235,12 +237,12 @@ def decode(lines: list[Line], gaps: list[int], sender: str | None = None) -> lis
                     if proof:
                         at_end = i + k == n or lines[i + k].quoted or gaps[i + k]
                         put(S, i + k, top + score - (0.0 if at_end else 2.0), from_any)
-    label = max(range(8), key=lambda k: best[n][k])
+    label = max(range(9), key=lambda k: best[n][k])
     out, end = [A] * n, n
     while end > 0:
         begin, source = back[end][label]
         for k in range(begin, end):
-            out[k] = label
+            out[k] = S if label == G else label
         end, label = begin, source
     return out
 

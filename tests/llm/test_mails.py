@@ -80,3 +80,29 @@ def test_operator(spark):
     assert new[1] == "Hi" and new[2] is None and new[3] == "" and new[6] == "" and new[5] == long_
     assert M.newly_written(rows).count() == 8
     assert M.mail_lines(rows.where(F.lit(False))).count() == 0
+
+
+def test_long_mails_take_time_in_proportion():
+    import time
+
+    from findling.llm.mails import Decoder
+
+    def took(lines):
+        began = time.perf_counter()
+        got = Decoder().labels("\n".join(lines), "A. Writer")
+        assert len(got) == len(lines)
+        return time.perf_counter() - began
+
+    for unit in (["--", "Tel. 0123 456789"], ["Please note that this message is confidential,"], ["On 1 May 2024 someone"], ["From: a@b.de", "To: c@d.de"], ["Anna Writer", "GmbH & Co"]):
+        short, long = took(unit * (1000 // len(unit))), took(unit * (10_000 // len(unit)))
+        assert long < 40 * short + 1, unit
+
+
+def test_long_signatures_and_notices_lose_no_line():
+    from findling.llm.mails import A, Decoder
+
+    body = ["Hello,", "the papers are in the post.", "", "-- ", "Anna Writer"] + [f"Tel. 0123 45{k:04d}" for k in range(40)]
+    assert [no for no, label in Decoder().labels("\n".join(body), "Anna Writer") if label == A] == [1, 2]
+    notice = ["This message is confidential and meant for", "the recipient named in it only. If you are"] + ["not the one to whom this message was sent,"] * 12 + ["please delete it and tell the sender."]
+    got = Decoder().labels("\n".join(["Hello,", "see below.", "", *notice]), None)
+    assert [no for no, label in got if label == A] == [1, 2]
