@@ -160,9 +160,9 @@ _P5 = """
 WITH f AS (
   SELECT query_id, file_id, max(similarity) AS sim, max(score) AS score, max(keyword::INT) AS kw, max(exact::INT) AS ex
   FROM results WHERE file_id IS NOT NULL GROUP BY ALL),
-v AS (SELECT *, round(sim, 4) AS x, CASE WHEN score > 0 THEN round(ln(score), 4) END AS y FROM f),
-m AS (SELECT query_id, quantile_cont(x, 0.5) AS mx, quantile_cont(y, 0.5) AS my FROM v GROUP BY 1),
-o AS (SELECT v.*, mx, my, round(abs(x - mx), 6) AS ox, round(abs(y - my), 6) AS oy FROM v JOIN m USING (query_id)),
+v AS (SELECT *, sim AS x, CASE WHEN score > 0 THEN ln(score) END AS y FROM f),
+m AS (SELECT query_id, quantile_cont(round(x, 4), 0.5) AS mx, quantile_cont(round(y, 4), 0.5) AS my FROM v GROUP BY 1),
+o AS (SELECT v.*, mx, my, round(abs(round(x, 4) - mx), 6) AS ox, round(abs(round(y, 4) - my), 6) AS oy FROM v JOIN m USING (query_id)),
 d AS (SELECT query_id, quantile_cont(ox, 0.5) AS dx, avg(ox) AS ax, quantile_cont(oy, 0.5) AS dy, avg(oy) AS ay FROM o GROUP BY 1),
 z AS (
   SELECT o.*, (x - mx) / CASE WHEN dx > 0 THEN dx * 1.4826 WHEN ax > 0 THEN ax * 1.2533 ELSE 1 END AS zx,

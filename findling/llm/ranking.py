@@ -30,11 +30,10 @@ RESULT_SCORES = (Score("similarity"), Score("score", log=True), Score("keyword",
 
 
 def _value(s: Score) -> Column:
-    """The score as it is standardised, rounded so that a group has few different values; null if missing."""
+    """The score as it is standardised; null if missing."""
     x = F.col(s.column).cast("double")
     x = F.when(~F.isnan(x), x)
-    x = F.when(x > 0, F.ln(x)) if s.log else x
-    return F.round(x, DIGITS)
+    return F.when(x > 0, F.ln(x)) if s.log else x
 
 
 def combined(rows: DataFrame, group: str, item: str, scores: tuple[Score, ...] = RESULT_SCORES) -> DataFrame:
@@ -42,16 +41,17 @@ def combined(rows: DataFrame, group: str, item: str, scores: tuple[Score, ...] =
 
     Of several rows of an item the greatest value of each score counts. Missing scores, and those not above
     0 where logarithms are taken, get the floor; a missing flag is not set. Where all values of a group are
-    equal they are all average. Rows without an item are no items. Medians are taken from counts of rounded
-    values that each task adds up first, so a group of any size fits.
+    equal they are all average. Rows without an item are no items. Medians are taken from counts of values
+    rounded to ``DIGITS`` that each task adds up first, so a group of any size fits; what is standardised by
+    them is the score itself.
     """
     best = rows.where(F.col(item).isNotNull()).groupBy(group, item).agg(*[F.max(F.col(s.column).cast("int") if s.flag else F.col(s.column)).alias(s.column) for s in scores])
     scaled = [s for s in scores if not s.flag]
     x = best.select("*", *[_value(s).alias(f"__{s.column}") for s in scaled])
     if scaled:
-        middle = x.groupBy(group).agg(*[F.percentile(f"__{s.column}", 0.5).alias(f"__m_{s.column}") for s in scaled])
+        middle = x.groupBy(group).agg(*[F.percentile(F.round(f"__{s.column}", DIGITS), 0.5).alias(f"__m_{s.column}") for s in scaled])
         near = _same_group(x, middle, group)
-        off = {s: F.abs(F.col(f"__{s.column}") - F.col(f"__m_{s.column}")) for s in scaled}
+        off = {s: F.abs(F.round(f"__{s.column}", DIGITS) - F.col(f"__m_{s.column}")) for s in scaled}
         spread = near.groupBy(group).agg(
             *[F.percentile(F.round(off[s], DIGITS + 2), 0.5).alias(f"__d_{s.column}") for s in scaled],
             *[F.avg(F.round(off[s], DIGITS + 2)).alias(f"__a_{s.column}") for s in scaled],

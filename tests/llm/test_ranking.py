@@ -40,3 +40,9 @@ def test_ranks_count_through(spark):
     top = R.first_of_groups(R.combined(frame(spark, rows), "query_id", "file_id"), "query_id", "file_id", 5)
     assert {(r.query_id, r.file_id) for r in top.collect()} == {(r.query_id, r.file_id) for r in got if r.rank <= 5}
     assert R.combined(frame(spark, []), "query_id", "file_id").where(F.lit(True)).count() == 0
+
+
+def test_near_scores_are_told_apart(spark):
+    rows = [(1, i, 0.3 + i / 50, 1.0 + i, True, False) for i in range(1, 20)] + [(1, 100, 0.700002, 5.0, True, False), (1, 99, 0.700001, 5.0, True, False), (1, 98, 0.7, 5.0, True, False)]
+    got = {r.file_id: r.rank for r in ranked(spark, rows).collect()}
+    assert got[100] < got[99] < got[98]
