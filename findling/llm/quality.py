@@ -1,11 +1,12 @@
 """Statistics of texts, and which texts aren't natural prose.
 
 A text is cut at blank lines into blocks. A block is described by four distributions: character classes,
-kinds of words (function words of four languages, other words by case, numbers, mixed runs), kinds of lines
+kinds of words (function words of each language, other words by case, numbers, mixed runs), kinds of lines
 (cells, dot leaders, bullets, sentence ends, flowing, long, short) and repetition. Its distance to a profile
 is the weighted sum of the Jensen-Shannon divergences of the four, and it takes the form of the nearest
-profile. Profiles are made from short archetype texts below and, where labelled documents are given, from
-their blocks, clustered within each form; the number of labelled documents used is bounded by a parameter.
+profile, of which prose has its own for every language and manner of writing. Profiles are made from short
+archetype texts below and, where labelled documents are given, from their blocks, clustered within each
+form; the number of labelled documents used is bounded by a parameter.
 A text whose prose blocks hold less than half of its characters isn't prose; its form is the one with most
 characters among the rest.
 
@@ -24,22 +25,25 @@ from findling.llm.arrow import map_rows
 from findling.session import bounded
 
 FORMS = ("prose", "list", "table", "junk")
-#: Function words of English, German, French and Spanish.
-FUNCTION_WORDS = """
-the a an and or but of to in on at by for from with without as is are was were be been it its this that these those he she they we you i not no had has have his her their our my which who what when while until before after since if so because although nobody under over between
-der die das den dem des ein eine einen einem einer eines und oder aber von zu zum zur im in an am auf bei mit ohne für aus nach seit vor über unter zwischen durch um als wie ist sind war waren wird wurde hat hatte haben nicht kein keine er sie es wir ihr ich sein seine ihre unser mein dass da damit weil während bis bevor obwohl was wer wenn so alles noch niemand warum
-le la les l un une des du de d et ou mais à au aux en dans sur sous par pour avec sans chez depuis avant après pendant entre vers est sont était a ont avait été se trouvait il elle ils elles nous vous je ne n pas plus que qu qui quoi ce cet cette ces son sa ses leur leurs notre mon bien car parce alors comme si encore personne pourquoi
-el la los las un una unos unas de del y o pero a al en con sin por para desde hasta antes después durante entre sobre bajo es son era fue ha han había se su sus mi nuestro nuestra lo le les no ni que quien como cuando donde si ya porque aunque este esta esto ese esa nadie sabía qué
-""".split()
+#: Function words by language.
+FUNCTION_WORDS = {
+    "english": """the a an and or but of to in on at by for from with without as is are was were be been it its this that these those he she they we you i not no had has have his her their our my which who what when while until before after since if so because although nobody under over between""",
+    "german": """der die das den dem des ein eine einen einem einer eines und oder aber von zu zum zur im in an am auf bei mit ohne für aus nach seit vor über unter zwischen durch um als wie ist sind war waren wird wurde hat hatte haben nicht kein keine er sie es wir ihr ich sein seine ihre unser mein dass da damit weil während bis bevor obwohl was wer wenn so alles noch niemand warum""",
+    "french": """le la les l un une des du de d et ou mais à au aux en dans sur sous par pour avec sans chez depuis avant après pendant entre vers est sont était a ont avait été se trouvait il elle ils elles nous vous je ne n pas plus que qu qui quoi ce cet cette ces son sa ses leur leurs notre mon bien car parce alors comme si encore personne pourquoi""",
+    "spanish": """el la los las un una unos unas de del y o pero a al en con sin por para desde hasta antes después durante entre sobre bajo es son era fue ha han había se su sus mi nuestro nuestra lo le les no ni que quien como cuando donde si ya porque aunque este esta esto ese esa nadie sabía qué""",
+}
 #: Characters by which lines begin that list, and that part cells.
 BULLETS = "-–—•*·▪◦‣○●■□☐☑✓✗→►»"
 ENDS = ".!?…:。！？"
 CLASSES = ("lower", "upper", "digit", "space", "break", "stop", "comma", "quote", "dash", "cell", "bracket", "symbol", "strange", "letter")
-WORDS = ("function", "lower", "capital", "caps", "number", "mixed", "long", "single", "none")
+WORDS = (*FUNCTION_WORDS, "shared", "lower", "capital", "caps", "number", "mixed", "long", "single", "none")
+SHARED = len(FUNCTION_WORDS)
 LINES = ("cells", "leader", "bullet", "end", "flowing", "long", "short")
 WEIGHTS = {"chars": 1.0, "words": 1.6, "lines": 1.3, "repeat": 1.2}
 PARTS = (("chars", len(CLASSES)), ("words", len(WORDS)), ("lines", len(LINES)), ("repeat", 6))
-LABELLED = 4000
+LABELLED, LABELLED_BLOCKS = 4000, 16
+#: Profiles of each form: prose has those of every language, in sentences, wrapped, in capitals and without marks.
+PROFILES = (40, 16, 16, 24)
 
 
 @cache
@@ -102,17 +106,24 @@ def _hashes(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, power: n
 
 
 @cache
-def _function_hashes() -> np.ndarray:
-    words = sorted(set(FUNCTION_WORDS))
-    codes = np.array([ord(c) for w in words for c in w], np.uint32)
-    lengths = np.array([len(w) for w in words])
-    return np.sort(_hashes(codes, np.cumsum(lengths) - lengths, lengths, _tables()[2]))
-
-
-def _is_function(h: np.ndarray) -> np.ndarray:
-    known = _function_hashes()
+def _function_hashes() -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the function words, and the language of each; a word of several languages is shared."""
+    language: dict[str, int] = {}
+    for k, text in enumerate(FUNCTION_WORDS.values()):
+        for w in set(text.split()):
+            language[w] = SHARED if w in language else k
+    codes = np.array([ord(c) for w in language for c in w], np.uint32)
+    lengths = np.array([len(w) for w in language])
+    h = _hashes(codes, np.cumsum(lengths) - lengths, lengths, _tables()[2])
+    order = np.argsort(h)
+    return h[order], np.array(list(language.values()))[order]
+
+
+def _function_language(h: np.ndarray) -> np.ndarray:
+    """The language of each word that is a function word, or -1."""
+    known, language = _function_hashes()
     i = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    return known[i] == h
+    return np.where(known[i] == h, language[i], -1)
 
 
 def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,11 +172,12 @@ def describe(texts: list[str | None]) -> dict[str, np.ndarray]:
     n_up = upper[w_start + w_len] - upper[w_start]
     n_dig = digit[w_start + w_len] - digit[w_start]
     h = _hashes(low_of[codes], w_start, w_len, power)
-    func = _is_function(h)
+    language = _function_language(h)
+    func = language >= 0
     head_up = kind[w_start] == 1 if n_word else np.zeros(0, bool)
     word_kind = np.select(
         [n_dig == w_len, n_dig > 0, w_len > 30, func, w_len == 1, n_up == 0, (n_up == w_len), head_up & (n_up == 1)],
-        [4, 5, 6, 0, 7, 1, 3, 2], 5,
+        [SHARED + 4, SHARED + 5, SHARED + 6, language, SHARED + 7, SHARED + 1, SHARED + 3, SHARED + 2], SHARED + 5,
     ) if n_word else np.zeros(0, int)
     w_block = in_block[w_start] if n_word else np.zeros(0, int)
     words = np.bincount(w_block * len(WORDS) + word_kind, minlength=n_block * len(WORDS)).reshape(n_block, len(WORDS))
@@ -195,7 +207,7 @@ def describe(texts: list[str | None]) -> dict[str, np.ndarray]:
     if n_word:
         after = a + w_len[wi]
         mark = raw[np.minimum(after, n - 1)]
-        bullet |= (w_start[wi] == a) & (word_kind[wi] == 4) & (w_len[wi] <= 4) & ((mark == ord(".")) | (mark == ord(")"))) & (raw[np.minimum(after + 1, n - 1)] == 32)
+        bullet |= (w_start[wi] == a) & (word_kind[wi] == WORDS.index("number")) & (w_len[wi] <= 4) & ((mark == ord(".")) | (mark == ord(")"))) & (raw[np.minimum(after + 1, n - 1)] == 32)
     ended = kind[z] == 5
     ended |= np.isin(kind[z], [7, 10]) & (kind[np.maximum(z - 1, 0)] == 5)
     same = np.concatenate([block_of_line[lines_inked][1:] == block_of_line[lines_inked][:-1], [False]])
@@ -290,6 +302,8 @@ def archetypes() -> list[tuple[str, str]]:
     got += [("prose", wrap(t, w)) for t in prose for w in (38, 72)] + [("prose", t.upper()) for t in prose] + [("prose", t.lower()) for t in prose]
     got += [("prose", f"{m} {t}") for t, m in zip(prose, ("1.", "§ 3.", "Art. 2.", "(4)"))] + [("prose", "\n".join(f"{i}. {t}" for i, t in enumerate(prose, 1)))]
     got += [("prose", wrap(t.upper(), 60)) for t in prose]
+    plain = [" ".join(c for c in t.replace(",", "").replace(".", "").split()) for t in prose]  # as badly read or typed
+    got += [("prose", t) for p in plain for t in (p.lower(), p, wrap(p.lower(), 60))]
     for k, mark in enumerate(("- ", "* ", "• ", "– ", "[ ] ", "{}. ", "{}) ", "")):
         got.append(("list", "\n".join(mark.format(i) + w for i, w in enumerate(names, 1))))
         got.append(("list", "\n".join(mark.format(i) + f"{w}: {w.split()[0].lower()}" for i, w in enumerate(names, 1))))
@@ -307,6 +321,9 @@ def archetypes() -> list[tuple[str, str]]:
     got += [("junk", "\n".join(noise(b64, 76) for _ in range(6))), ("junk", noise(b64, 500)), ("junk", noise("0123456789abcdef", 400)), ("junk", " ".join(noise("0123456789abcdef", 2) for _ in range(150)))]
     got += [("junk", "".join(f"%{b:02X}" if b % 3 else chr(65 + b % 26) for b in rng.integers(0, 256, 200))), ("junk", noise("aeiou0lI1nrcmvw~^`°§<>{}[]()|\\/&%*+=;:,.?!'_- \n", 500))]
     got += [("junk", c * 300) for c in "=_.-*#�□xX0"] + [("junk", (a * 150)) for a in ("- ", ". ", "xX", "_ ", "* ", "=-", "\\o/ ")]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for salad in (" ".join(noise(letters, int(n)) for n in rng.integers(2, 10, 90)), " ".join(noise("bdfklmnprst", 1) + noise("aeiou", 1) + noise(letters, 3) for _ in range(90))):
+        got += [("junk", salad), ("junk", wrap(salad, 60)), ("junk", salad.capitalize() + ".")]  # words of no language
     for sep in (" | ", " > ", " · ", " / ", "  "):
         got.append(("junk", "\n".join([sep.join("Home Kontakt Login Suche Impressum Hilfe Start".split())] * 8)))
     got.append(("junk", "\n".join(f"2025-0{i % 9 + 1}-1{i % 9}T0{i % 9}:15:3{i % 9}Z {('INFO', 'WARN', 'ERR')[i % 3]} service[{8000 + 37 * i}] 0x{noise('0123456789abcdef', 8)}" for i in range(9))))
@@ -342,28 +359,33 @@ class Profiles:
         self.vectors, self.forms = vectors.astype(np.float32), np.array([FORMS.index(f) for f in forms])
 
     @classmethod
-    def fit(cls, labelled: list[tuple[str | None, str]], per_form: tuple[int, ...] = (10, 10, 10, 16)) -> Profiles:
-        """Profiles of the archetypes and of labelled texts.
+    def fit(cls, labelled: list[tuple[str | None, str]], per_form: tuple[int, ...] = PROFILES) -> Profiles:
+        """Profiles of the archetypes and of labelled texts."""
+        if not labelled:
+            return cls.of_blocks(np.zeros((0, sum(n for _, n in PARTS)), np.float32), np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), per_form)
+        d = describe([t for t, _ in labelled])
+        label = np.array([FORMS.index(f) for _, f in labelled], int)[d["block_doc"]]
+        return cls.of_blocks(d["vectors"], d["block_doc"], d["block_size"], label, per_form)
+
+    @classmethod
+    def of_blocks(cls, vectors: np.ndarray, document: np.ndarray, size: np.ndarray, label: np.ndarray, per_form: tuple[int, ...] = PROFILES) -> Profiles:
+        """Profiles of the archetypes and of the blocks of labelled texts.
 
         A label names a whole text, so a block counts for it only where the archetypes don't see a better
         form for it: prose blocks of a list don't make profiles of lists, nor short odd blocks of prose.
         """
         base, forms = archetype_profiles()
         base_forms = np.array([FORMS.index(f) for f in forms])
-        out, names = [], []
-        vectors, own = np.zeros((0, base.shape[1]), np.float32), np.zeros(0, int)
-        if labelled:
-            d = describe([t for t, _ in labelled])
-            label = np.array([FORMS.index(f) for _, f in labelled])[d["block_doc"]]
-            near = base_forms[divergence(d["vectors"], base).argmin(1)]
+        if len(vectors):
+            near = base_forms[divergence(vectors, base).argmin(1)]
             biggest = np.zeros(len(label), bool)
-            order = np.lexsort((-d["block_size"], d["block_doc"]))
-            biggest[order[np.concatenate([[True], np.diff(d["block_doc"][order]) > 0])]] = True
-            keep = (d["block_size"] >= 40) & ((near == label) | (biggest & ((label != 0) | (near == 0))))
-            vectors, own = d["vectors"][keep], label[keep]
+            order = np.lexsort((-size, document))
+            biggest[order[np.concatenate([[True], np.diff(document[order]) > 0])]] = True
+            keep = (size >= 40) & ((near == label) | (biggest & ((label != 0) | (near == 0))))
+            vectors, label = vectors[keep], label[keep]
+        out, names = [], []
         for f, name in enumerate(FORMS):
-            x = np.concatenate([base[base_forms == f], vectors[own == f]])
-            c = cluster(x, per_form[f])
+            c = cluster(np.concatenate([base[base_forms == f], vectors[label == f]]), per_form[f])
             out.append(c)
             names += [name] * len(c)
         return cls(np.concatenate(out), names)
@@ -380,12 +402,48 @@ class Profiles:
 STATS = ("chars", "words", "mean_word", "symbol_ratio", "digit_ratio", "upper_ratio", "lines", "ended_lines", "bullet_lines", "common_words", "distinct_words", "repeated_lines")
 
 
-def fit_profiles(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", form: str = "form", most: int = LABELLED) -> Profiles:
-    """Profiles from at most ``most`` labelled documents, those of the smallest hashes of their keys."""
+def fit_profiles(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", form: str = "form", most: int = LABELLED, blocks: int = LABELLED_BLOCKS) -> Profiles:
+    """Profiles from at most ``most`` labelled documents, those of the smallest hashes of their keys.
+
+    The texts are described where they are; what is gathered are the vectors of at most the ``blocks``
+    largest blocks of each.
+    """
     chosen = labels.where(F.col(form).isin(*FORMS)).dropDuplicates([key]).select(F.col(key).alias("k"), F.col(form).alias("form")).orderBy(F.xxhash64("k"), "k").limit(most)
-    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").select("t", "form")  # at most ``most`` rows
-    got = bounded(rows, 4 * most, "labelled documents")
-    return Profiles.fit(sorted(((r["t"], r["form"]) for r in got), key=lambda r: (r[1], r[0] or "")))
+    # at most ``most`` rows; of a key that several documents share each counts
+    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").select(F.xxhash64("k", "t").alias("h"), "t", "form")
+
+    def fn(c: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {n: [] for n in ("h", "form", "size", "vector")}
+        for at, end in _portions(c["t"]):
+            d = describe(c["t"][at:end])
+            order = np.lexsort((-d["block_size"], d["block_doc"]))
+            doc = d["block_doc"][order]
+            start = np.searchsorted(doc, doc)
+            for i in order[np.arange(len(doc)) - start < blocks]:
+                n = at + int(d["block_doc"][i])
+                for name, v in zip(out, (c["h"][n], c["form"][n], int(d["block_size"][i]), d["vectors"][i].tobytes())):
+                    out[name].append(v)
+        return out
+
+    got = bounded(map_rows(rows, fn, "h bigint, form string, size bigint, vector binary"), 4 * most * blocks, "blocks of labelled documents")
+    got = sorted(got, key=lambda r: (r["form"], r["h"], -r["size"], bytes(r["vector"])))
+    width = sum(n for _, n in PARTS)
+    vectors = np.frombuffer(b"".join(bytes(r["vector"]) for r in got), np.float32).reshape(-1, width)
+    _, document = np.unique(np.array([r["h"] for r in got], np.int64), return_inverse=True)
+    return Profiles.of_blocks(vectors, document, np.array([r["size"] for r in got], int), np.array([FORMS.index(r["form"]) for r in got], int))
+
+
+def _portions(texts: list[str | None], most: int = 400_000) -> list[tuple[int, int]]:
+    """From and to of portions by characters, so that long texts don't add up."""
+    out, at = [], 0
+    while at < len(texts):
+        size, end = 0, at
+        while end < len(texts) and (end == at or size + len(texts[end] or "") < most):
+            size += len(texts[end] or "") + 1
+            end += 1
+        out.append((at, end))
+        at = end
+    return out
 
 
 def text_statistics(documents: DataFrame, profiles: Profiles, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -399,12 +457,7 @@ def text_statistics(documents: DataFrame, profiles: Profiles, key: str = "doc_id
 
     def fn(c: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"key": c["key"], **{s: [] for s in STATS}, "prose_share": [], "form": []}
-        at = 0
-        while at < len(c["t"]):  # batches by characters, so that long texts don't add up
-            size, end = 0, at
-            while end < len(c["t"]) and (end == at or size + len(c["t"][end] or "") < 400_000):
-                size += len(c["t"][end] or "") + 1
-                end += 1
+        for at, end in _portions(c["t"]):
             texts = c["t"][at:end]
             d = describe(texts)
             by = profiles.shares(d, len(texts))
@@ -416,7 +469,6 @@ def text_statistics(documents: DataFrame, profiles: Profiles, key: str = "doc_id
                 out[s] += d[s].tolist()
             out["prose_share"] += prose.tolist()
             out["form"] += [FORMS[f] for f in form]
-            at = end
         return out
 
     return map_rows(documents.select(F.col(key).alias("key"), F.col(text).alias("t")), fn, schema).withColumnRenamed("key", key)
