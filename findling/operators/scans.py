@@ -91,8 +91,9 @@ def replay_scans(sightings: DataFrame, scans: DataFrame, files: DataFrame, conta
     for r in rounds:
         if f"round-{r}" in target.manifest()["sources"]:
             continue
-        source = seen.where(F.col("round") == r).drop("round")
-        target.publish(new_or_changed(source, target.current(), ["path_key"], unchanged).withColumn("status", F.lit("indexed")), f"round-{r}")
+        source, base = seen.where(F.col("round") == r).drop("round"), target.version()
+        new = new_or_changed(source, target.current(base), ["path_key"], unchanged).withColumn("status", F.lit("indexed"))
+        target.publish(new, f"round-{r}", base=base)
     return target
 
 

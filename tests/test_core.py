@@ -132,6 +132,43 @@ def test_target_publishes_whole_versions_once(spark):
     assert t.current().count() == 3 and len(t.manifest()["data"]) == 1
 
 
+def test_a_late_writer_fails_and_nothing_repeats(spark):
+    same = lambda s, x: s("v") == x("v")
+    rows = lambda *r: spark.createDataFrame(list(r), SCHEMA)
+    t = VersionedTarget(spark, scratch(spark, "race"), rows().schema, ["path_key"])
+    handed = []
+
+    def slowly(new):
+        run_once(t, rows(("a", 2), ("b", 1)), "s2", lambda x: x, same)  # another run publishes meanwhile
+        handed.append(new)
+        return new
+
+    with pytest.raises(ConcurrentPublish):
+        run_once(t, rows(("a", 1), ("b", 1)), "s1", slowly, same)
+    assert sorted((r.path_key, r.v) for r in t.current().collect()) == [("a", 2), ("b", 1)] and t.deltas().count() == 2
+    run_once(t, rows(("b", 1), ("c", 1)), "s3", lambda x: x, same)
+    assert sorted((r.path_key, r.v) for r in t.deltas(since=1).collect()) == [("c", 1)]
+
+
+def test_target_folds_its_folders_and_keeps_history(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), SCHEMA)
+    t = VersionedTarget(spark, scratch(spark, "fold"), rows().schema, ["path_key"], folders=3)
+    for k in range(7):
+        t.publish(rows(("a", k), (f"k{k}", k)), f"run-{k}")
+        assert len(t.manifest()["data"]) <= 3
+    assert sorted((r.path_key, r.v) for r in t.current().collect()) == [("a", 6), *((f"k{k}", k) for k in range(7))]
+    assert t.deltas().count() == 14 and t.deltas(since=5).count() == 4
+    version = t.version()
+    assert t.publish(rows(("z", 1)), "run-3") == version  # taken in already, folded or not
+    rows(("a", 9)).write.parquet(f"{t.path}/delta-dead")
+    assert t.clean(older=3600) == [] and t.clean(older=-3600) == ["delta-dead"]
+    assert t.deltas().count() == 14
+    base = t.publish(rows(("y", 1)), "one more")
+    assert len(t.manifest(base)["data"]) > 1
+    folded = t.compact()  # doesn't count as another run's work
+    assert t.publish(rows(("z", 1)), "on an older base", base=base) == folded + 1
+
+
 SIGHT, SCAN = "scan_id long, folder_id long, path string, size long, mtime double, found_at timestamp, loaded_at timestamp, extra string", "scan_id long, folder_id long, started_at timestamp, finished_at timestamp, state string"
 FILE = "id long, path string, size long, mtime double, status string, indexed_at double"
 CONT = "path string, size long, mtime double, types string"
