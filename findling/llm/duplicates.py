@@ -35,11 +35,14 @@ def needed(a: int, b: int, jaccard: float | None, overlap: int | None) -> int:
     """Common tokens that two sets of sizes a and b need."""
     if overlap is not None:
         return overlap
-    return -int(-(jaccard / (1 + jaccard) * (a + b)) // 1)
+    return -int(-(jaccard / (1 + jaccard) * (a + b) - 1e-9) // 1)  # no rounding may ask for one more
 
 
 class ListJoin:
-    """One token's list after the other: entries (key, size, position, tokens in order)."""
+    """One token's list after the other: entries (key, size, position, tokens in order).
+
+    Sets are bit masks over the tokens of the list at hand, so an overlap is one operation on whole words.
+    """
 
     def __init__(self, jaccard: float | None, overlap: int | None, close: int = 6):
         self.jaccard, self.overlap, self.close = jaccard, overlap, close
@@ -49,23 +52,44 @@ class ListJoin:
 
         Tokens of an entry are those that other sets share, in the common order; ``position`` counts all.
         """
-        rows = sorted(left, key=lambda e: (e[1], e[2]))
-        others = rows if right is None else sorted(right, key=lambda e: (e[1], e[2]))
-        sets = [frozenset(e[3]) for e in others]
+        rows = sorted(left, key=lambda e: (e[1], e[2], e[3]))
+        others = rows if right is None else sorted(right, key=lambda e: (e[1], e[2], e[3]))
+        bits: dict[int, int] = {}
+
+        def masks(entries: list[tuple]) -> tuple[list[int], list[int]]:
+            """All tokens of each entry, and those before the list's, of which none may be common."""
+            whole, before = [], []
+            for _, size, at, tokens in entries:
+                m = e = 0
+                for n, t in enumerate(tokens):
+                    if n == at - (size - len(tokens)):
+                        e = m
+                    m |= 1 << bits.setdefault(t, len(bits))
+                whole.append(m)
+                before.append(e)
+            return whole, before
+
+        sets, _ = masks(others)
+        own_sets, own_before = masks(rows)
         blocks: list[tuple[int, int, int, int]] = []  # size, position, from, to
         for n, e in enumerate(others):
             if blocks and blocks[-1][:2] == (e[1], e[2]):
                 blocks[-1] = (*blocks[-1][:3], n + 1)
             else:
                 blocks.append((e[1], e[2], n, n + 1))
-        leader: frozenset | None = None
-        known: dict[int, int] = {}
-        for m, (key, size, at, tokens) in enumerate(rows):
-            own = sets[m] if right is None else frozenset(tokens)
-            gone = leader - own if leader is not None else None
-            new = own - leader if leader is not None else own
-            derive = gone is not None and len(gone) + len(new) <= self.close
+        leader: int | None = None
+        known: dict[int, int] = {}  # overlaps of the leader
+        most: dict[int, int] = {}  # bounds on those that were passed by
+        for m, (key, size, at, _) in enumerate(rows):
+            own, before = own_sets[m], own_before[m]
+            gone = new = grown = 0
+            derive = False
+            if leader is not None:
+                gone, new = leader & ~own, own & ~leader
+                grown = new.bit_count()
+                derive = gone.bit_count() + grown <= self.close
             answers: dict[int, int] = {}
+            bounds: dict[int, int] = {}
             for b_size, b_at, a, z in blocks:
                 if right is None:
                     a = max(a, m + 1)
@@ -75,25 +99,23 @@ class ListJoin:
                 if need > min(size, b_size) or 1 + min(size - at, b_size - b_at) - 1 < need:
                     continue  # too different in size, or too little can follow: none of the block
                 for n in range(a, z):
-                    before = known.get(n) if derive else None
-                    if before is not None:
-                        if before + len(new) < need:
-                            answers[n] = before  # an upper bound is all that later sets need to skip it, too
-                            if len(new):
-                                answers[n] = before - len(gone & sets[n]) + len(new & sets[n]) if before + len(new) >= need - self.close else before + len(new)
+                    other = sets[n]
+                    exact = known.get(n) if derive else None
+                    if exact is None:
+                        bound = most.get(n) if derive else None
+                        if bound is not None and bound + grown < need:
+                            bounds[n] = bound + grown
                             continue
-                        common = before - len(gone & sets[n]) + len(new & sets[n])
+                        common = (own & other).bit_count()
+                    elif exact + grown < need:
+                        bounds[n] = exact + grown  # passed by; a later set knows it as a bound only
+                        continue
                     else:
-                        common = len(own & sets[n])
+                        common = exact - (gone & other).bit_count() + (new & other).bit_count()
                     answers[n] = common
-                    if common >= need and key != others[n][0] and self._first(tokens, at, size, sets[n]):
+                    if common >= need and not before & other and key != others[n][0]:
                         yield (key, others[n][0]) if key < others[n][0] else (others[n][0], key)
-            leader, known = own, answers
-
-    @staticmethod
-    def _first(tokens: list[int], at: int, size: int, other: frozenset) -> bool:
-        """No token before this list's is common, so no other list gives the pair."""
-        return not any(t in other for t in tokens[: at - (size - len(tokens))])
+            leader, known, most = own, answers, bounds
 
 
 def similar_sets(sets: DataFrame, key: str = "key", tokens: str = "tokens", jaccard: float | None = 0.8, overlap: int | None = None, list_block: int = LIST_BLOCK) -> DataFrame:
@@ -111,11 +133,11 @@ def similar_sets(sets: DataFrame, key: str = "key", tokens: str = "tokens", jacc
     ordered = (
         single.join(shared, "token").groupBy("key", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))
     )  # a set's own tokens: bounded by its size
-    least = F.lit(overlap) if overlap is not None else F.ceil(F.lit(jaccard) * F.col("size"))
+    least = F.lit(overlap) if overlap is not None else F.ceil(F.lit(jaccard) * F.col("size") - 1e-9)
     # tokens of one set only come first in the order, so the shared ones begin behind them
     skip = F.col("size") - F.size("t")
     entered = F.greatest(F.col("size") - least + 1 - skip, F.lit(0)).cast("int")
-    brief = F.transform("t", lambda x: F.hash(x["token"]))
+    brief = F.transform("t", lambda x: x["token"])
     entries = ordered.select("key", "size", skip.alias("skip"), brief.alias("brief"), F.posexplode(F.slice("t", F.lit(1), entered)).alias("i", "x"))
     entries = entries.select(F.col("x.token").alias("token"), F.col("x.n").alias("n"), "key", "size", (F.col("i") + F.col("skip")).alias("at"), "brief")
     blocks = F.ceil(F.col("n") / list_block)
@@ -168,7 +190,7 @@ MAYBE = frozenset("final old alt neu new draft firmado firmada definitiv".split(
 OF = {"copy": "of", "copie": "de", "copia": "de", "kopie": "von"}
 EXTENSION = re.compile(r"\.[A-Za-z][A-Za-z0-9]{0,4}$")
 #: What is put behind a name to tell copies and versions apart.
-BEHIND = re.compile(r"(?:[\s_-]*\(\d{1,3}\)|[\s_.-]+[vV]\d{1,3}|\s-\s(?:[Cc]op(?:y|ie|ia)|[Kk]opie)|_(?:old|alt|neu|new|final|definitiv|korr|scan|signed|draft|copy|kopie|copie|copia)| (?:FINAL|OLD|NEW|NEU|ALT))+$")
+BEHIND = re.compile(r"(?:[\s_-]*\(\d{1,3}\)|[\s_.-]+[vV]\d{1,3}(?:\.\d{1,3}){0,3}|\s-\s(?:[Cc]op(?:y|ie|ia)|[Kk]opie)|_(?:old|alt|neu|new|final|definitiv|korr|scan|signed|draft|copy|kopie|copie|copia)| (?:FINAL|OLD|NEW|NEU|ALT))+$")
 DATES = re.compile(r"(?<!\d)(?:(\d{4})([-_. ]?)(\d{2})\2(\d{2})|(\d{2})([-_. ])(\d{2})\6(\d{4}))(?!\d)")
 GROUPED = re.compile(r"(?<!\d)(\d{3})-(\d{4})(?!\d)")
 NUMBERED = re.compile(r"(?<![^\W\d_])(?:nr|no|re|n)[\s_.-]*(?=\d)")
@@ -188,6 +210,13 @@ def _nearly_a_mark(w: str) -> bool:
     return len(w) >= 6 and any(edits_between(w, m, 1) == 1 and w[:-1] != m and w[:-1] != m[:-1] for m in MARKS if len(m) >= 7)
 
 
+def plain_name(path: str) -> str:
+    """A path's last part without its extension, however written: what exact copies share."""
+    name = re.split(r"[\\/]", path)[-1]
+    stem = EXTENSION.sub("", name) if not name.startswith(".") else name
+    return " ".join(PIECE.findall(fold_name(stem)))
+
+
 def title(path: str) -> tuple[str, str]:
     """(numbers, words) of a path's last part, each joined by spaces; what marks a copy or version is left out.
 
@@ -245,8 +274,9 @@ def edits_between(a: str, b: str, most: int) -> int:
 
 
 def allowed(length: int, numbered: bool) -> int:
-    """Edits that a word of so many letters may have; without a number to tell files apart one less in long ones."""
-    return 0 if length < 3 else 1 if length < 5 else 2 if length < (10 if numbered else 14) else 3
+    """Edits that two versions of a word of so many letters may differ by: up to two in each where a number
+    tells files apart, fewer where only the words do."""
+    return 0 if length < 3 else 1 if length < 5 else 2 + (length >= 14) if not numbered else 3 + (length >= 10)
 
 
 def same_title(a: tuple[str, str], b: tuple[str, str], edits: int = 5) -> bool:
@@ -290,16 +320,17 @@ def name_tokens(t: tuple[str, str]) -> list[str]:
 
 
 def titles(files: DataFrame, key: str = "id", path: str = "path", order: str = "indexed_at") -> DataFrame:
-    """``id, numbers, words`` of every id's valid row (greatest ``order``; ties: greatest path)."""
+    """``id, name, numbers, words`` of every id's valid row (greatest ``order``; ties: greatest path)."""
     valid = files.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(order, path)).alias("r")).select(F.col(key).alias("id"), F.col(f"r.{path}").alias("path"))
     kind = dict(valid.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [title(p) if p else ("", "") for p in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in got], pa.string()), pa.array([w for _, w in got], pa.string())], ["id", "numbers", "words"])
+            paths = batch.column(1).to_pylist()
+            got = [(plain_name(p), *title(p)) if p else ("", "", "") for p in paths]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([g[k] for g in got], pa.string()) for k in range(3)]], ["id", "name", "numbers", "words"])
 
-    return valid.mapInArrow(run, f"id {kind}, numbers string, words string")
+    return valid.mapInArrow(run, f"id {kind}, name string, numbers string, words string")
 
 
 def expand(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -312,14 +343,17 @@ def expand(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def name_classes(files: DataFrame, numbered: float = 0.36, bare: float = 0.45) -> tuple[DataFrame, DataFrame]:
-    """Members (id, class) of equal titles, and links (a, b) between classes of nearly equal ones.
+    """Members (id, class) of equal names, and links (a, b) between classes of nearly equal titles.
 
-    Titles with numbers share tokens with those of the same numbers only, so a low similarity costs little;
-    without any the words alone tell titles apart, and small edits leave more of their triples in common.
+    Titles with numbers share tokens with those of the same numbers only, so a low similarity costs little,
+    and a title whose numbers no other has can't have a partner; without any the words alone tell titles
+    apart, and small edits leave more of their triples in common.
     """
     rows = titles(files).where((F.col("words") != "") | (F.col("numbers") != ""))
-    members = stored(rows.withColumn("class", F.xxhash64("numbers", "words")), "titles")
+    members = stored(rows.withColumn("class", F.xxhash64("name")), "titles")
     reps = members.groupBy("class").agg(F.min(F.struct("numbers", "words")).alias("t")).select("class", "t.*")
+    reps = stored(reps, "representatives")
+    several = reps.where("numbers <> ''").groupBy("numbers").agg(F.count("*").alias("n")).where("n > 1").select("numbers")
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -331,7 +365,7 @@ def name_classes(files: DataFrame, numbered: float = 0.36, bare: float = 0.45) -
         sets = part.mapInArrow(tokenise, "class bigint, tokens array<string>").select("class", F.transform("tokens", lambda x: F.xxhash64(x)).alias("tokens"))
         return similar_sets(sets, "class", "tokens", jaccard=least)
 
-    pairs = alike(reps.where("numbers <> ''"), numbered).unionByName(alike(reps.where("numbers = ''"), bare))
+    pairs = alike(reps.where("numbers <> ''").join(several, "numbers", "left_semi").select("class", "numbers", "words"), numbered).unionByName(alike(reps.where("numbers = ''"), bare))
     named = pairs.join(reps.select(F.col("class").alias("a"), F.struct("numbers", "words").alias("ta")), "a").join(reps.select(F.col("class").alias("b"), F.struct("numbers", "words").alias("tb")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -78,3 +78,24 @@ def test_vectors_equal_brute_force(spark):
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     want = {(ids[a], ids[b]) for a, b in np.argwhere(np.triu(u @ u.T, 1) >= 0.96)}
     assert len(want) > 100 and got <= want and len(got) >= 0.98 * len(want)
+
+
+@pytest.mark.parametrize("jaccard, size, seed", [(0.5, 30, 1), (0.8, 40, 2), (0.36, 20, 3)])
+def test_chains_of_similar_sets_are_exact(jaccard, size, seed):
+    """Every set differs from the one before in a few tokens, so answers are derived along long chains."""
+    rng = random.Random(seed)
+    chain = [set(range(size))]
+    for _ in range(260):
+        s = set(chain[-1])
+        for _ in range(rng.randrange(1, 4)):
+            s.discard(rng.choice(sorted(s)))
+            s.add(rng.randrange(1, 90))
+        s.add(0)  # all of them in the list of token 0
+        chain.append(s)
+    rng.shuffle(chain)
+    entries = [(k, len(s), 0, sorted(s)) for k, s in enumerate(chain)]
+    got = set(D.ListJoin(jaccard, None).pairs(entries))
+    want = {(a, b) for a in range(len(chain)) for b in range(a + 1, len(chain)) if len(chain[a] & chain[b]) >= D.needed(len(chain[a]), len(chain[b]), jaccard, None)}
+    assert got == want and want
+    halves = set(D.ListJoin(jaccard, None).pairs(entries[:130], entries[130:]))
+    assert halves == {(a, b) for a, b in want if a < 130 <= b}
