@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from findling.functions import text as X
+from findling.functions import paths as P, text as X
 
 K, BONUS = 60.0, 1.0 / 60.0
 LIKELY_TEXT, LIKELY_PICTURE, MARGIN = 0.73, 0.71, 0.04
@@ -68,3 +68,35 @@ def partition_likely(results: DataFrame, query_key: str = "query_id") -> DataFra
     """Likely results first, else in order; ``n_likely`` is their number."""
     order = Window.partitionBy(query_key).orderBy(F.desc("likely"), "rank")
     return results.withColumn("shown", F.row_number().over(order)).withColumn("n_likely", F.sum(F.col("likely").cast("int")).over(Window.partitionBy(query_key)))
+
+
+def highlighted(results: DataFrame, shown: int = 12, margin: float = 0.03, query_key: str = "query_id") -> DataFrame:
+    """Results to mark: all words found, or within ``margin`` of the query's best similarity; the first ``shown`` by rank."""
+    best = F.max("similarity").over(Window.partitionBy(query_key))
+    good = results.where("rank is not null").withColumn("__best", best).where(F.col("exact") | (F.col("similarity") >= F.col("__best") - margin))
+    return good.withColumn("mark", F.row_number().over(Window.partitionBy(query_key).orderBy("rank"))).where(F.col("mark") <= shown).drop("__best")
+
+
+#: The order of kinds when results are sorted by type.
+KIND_ORDER = ("doc", "text", "code", "image")
+
+
+def natural(name: Column) -> Column:
+    """A name as it sorts when numbers count as numbers: in lower case, each run of digits padded to twenty."""
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), 1), lambda x: F.when(x.rlike(r"^\d"), F.lpad(F.regexp_replace(x, "^0+(?=.)", ""), 20, "0")).otherwise(x)), "")
+
+
+def sort_results(results: DataFrame, by: str | None, query_key: str = "query_id", part: str = "likely") -> DataFrame:
+    """Results with ``shown`` by name, date, size or type inside each part; ties keep the order before.
+
+    Newest and largest come first; types go by kind, extension and name. Null changes nothing.
+    """
+    if by is None:
+        return results
+    name = P.base_name(F.col("path"))
+    kind = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KIND_ORDER)], F.lit(len(KIND_ORDER)))
+    orders = {"name": [natural(name)], "date": [F.desc("mtime")], "size": [F.desc("size")], "type": [kind, P.suffix(name), natural(name)]}
+    if by not in orders:
+        raise ValueError(f"sort by {', '.join(orders)}")
+    order = Window.partitionBy(query_key).orderBy(F.desc(part), *orders[by], "rank")
+    return results.withColumn("shown", F.row_number().over(order))

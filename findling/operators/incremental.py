@@ -43,9 +43,14 @@ class ConcurrentPublish(RuntimeError):
 
 
 class VersionedTarget:
-    """Versions of a table in a folder; ``folders`` bounds how many data folders a version has."""
+    """Versions of a table in a folder.
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: Iterable[str], folders: int = FOLDERS, exclusive: Callable[[str, bytes], bool] | None = None):
+    ``folders`` bounds how many data folders a version has; ``keep`` says which rows are still wanted when all
+    of them are folded into one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: Iterable[str], folders: int = FOLDERS, exclusive: Callable[[str, bytes], bool] | None = None, keep: Callable[[DataFrame], DataFrame] | None = None):
+        self.keep = keep
         self.spark, self.path, self.schema, self.key, self.folders, self.exclusive = spark, path.rstrip("/"), schema, list(key), folders, exclusive
         self._jvm = spark._jvm
         at = self._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -125,6 +130,10 @@ class VersionedTarget:
         added = [self.manifest(v)["added"] for v in range(1, self.version() + 1)]
         return self._union([name for name in added if name][since:])
 
+    def unmerged(self) -> DataFrame:
+        """All rows of the newest version, for tables whose keys never come twice: no shuffle."""
+        return self._union(self.manifest()["data"]).drop(SEQ)
+
     def added(self, version: int) -> DataFrame:
         """The rows that one version added."""
         name = self.manifest(version)["added"]
@@ -169,7 +178,8 @@ class VersionedTarget:
         seen = self.manifest()
         if len(seen["data"]) - first < 2:
             return seen["version"]
-        name, size = self._write(self._newest(seen["data"][first:]), "delta" if first else "base")
+        rows = self._newest(seen["data"][first:])
+        name, size = self._write(rows, "delta") if first else self._write(self.keep(rows) if self.keep else rows, "base")
         self._create({**seen, "version": seen["version"] + 1, "data": [*seen["data"][:first], name], "bytes": [*seen["bytes"][:first], size], "added": None})
         return seen["version"] + 1
 

@@ -87,12 +87,18 @@ def fit(rows: DataFrame, coords: list[str]) -> DataFrame:
 
 def align(new: np.ndarray, old: np.ndarray) -> np.ndarray:
     """New points turned, mirrored and scaled onto the old ones (same rows); at least four are needed."""
-    if len(new) < 4:
+    return align_by(new, np.ones(len(new), bool), old)
+
+
+def align_by(new: np.ndarray, same: np.ndarray, old: np.ndarray) -> np.ndarray:
+    """All new points turned, mirrored and scaled by what brings the rows ``same`` onto their old places."""
+    if same.sum() < 4:
         return new
-    a, b = new - new.mean(0), old - old.mean(0)
+    centre = new[same].mean(0)
+    a, b = new[same] - centre, old - old.mean(0)
     u, s, vt = np.linalg.svd(a.T @ b)
     total = (a * a).sum()
-    return a @ (u @ vt) * (s.sum() / total if total > 0 else 1) + old.mean(0)
+    return (new - centre) @ (u @ vt) * (s.sum() / total if total > 0 else 1) + old.mean(0)
 
 
 def place(vectors: np.ndarray, known: np.ndarray, coords: np.ndarray, ids: np.ndarray, nearest: int = 8, tau: float = 0.02, jitter: float = 0.015) -> np.ndarray:

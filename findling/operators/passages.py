@@ -24,11 +24,14 @@ def _end(text: str, at: int, chars: int) -> int:
     return next((p + n for p, n in found if p >= 0), limit)
 
 
-def windows(text: str, chars: int = CHARS, overlap: int = OVERLAP, most: int = MOST) -> list[tuple[int, str]]:
-    """(start, passage) of a tidied text; the next passage begins behind the first space of the overlap."""
+def windows(text: str, chars: int = CHARS, overlap: int = OVERLAP, most: int | None = None) -> list[tuple[int, str]]:
+    """(start, passage) of a tidied text; the next passage begins behind the first space of the overlap.
+
+    After ``most`` passages the rest of a text is left; None takes all of it.
+    """
     out: list[tuple[int, str]] = []
     at = end = 0
-    while end < len(text) and len(out) < most:
+    while end < len(text) and (most is None or len(out) < most):
         end = _end(text, at, chars)
         if body := text[at:end].strip():
             out.append((at, body))
@@ -37,7 +40,7 @@ def windows(text: str, chars: int = CHARS, overlap: int = OVERLAP, most: int = M
     return out
 
 
-def chunk(rows: DataFrame, key: list[str], text: str = "text", chars: int = CHARS, overlap: int = OVERLAP, most: int = MOST) -> DataFrame:
+def chunk(rows: DataFrame, key: list[str], text: str = "text", chars: int = CHARS, overlap: int = OVERLAP, most: int | None = None) -> DataFrame:
     """``key…, chunk, start, text, page``: the passages of every text. Form feeds mark pages and are taken out.
 
     Null and blank texts have none.

@@ -150,7 +150,7 @@ def _paragraphs(xml: bytes) -> list[str]:
     return out
 
 
-def workbook(data: bytes, most_rows: int = 5000) -> str:
+def workbook(data: bytes, most_rows: int | None = None) -> str:
     """Sheets as ``Sheet X:`` and rows ``a | b``; a longer sheet ends with a note of its rows."""
     with _zip(data) as z:
         shared = []
@@ -164,7 +164,7 @@ def workbook(data: bytes, most_rows: int = 5000) -> str:
             path = rels[rid].lstrip("/")
             rows = []
             for n, row in enumerate(e for e in ET.fromstring(z.read(path if path.startswith("xl/") else f"xl/{path}")).iter() if _local(e.tag) == "row"):
-                if n >= most_rows:
+                if most_rows is not None and n >= most_rows:
                     rows.append("…")
                     break
                 cells = []

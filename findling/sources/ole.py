@@ -193,7 +193,7 @@ def _shown(x: float) -> str:
     return str(int(x)) if x == int(x) and abs(x) < 1e15 else f"{x:.10g}"
 
 
-def sheets(f: CompoundFile, most_rows: int = 5000) -> str:
+def sheets(f: CompoundFile, most_rows: int | None = None) -> str:
     """Sheets as ``Sheet X:`` and rows ``a | b``."""
     raw = f.read("Workbook" if "Workbook" in f.streams else "Book")
     records = list(_records(raw))

@@ -374,3 +374,128 @@ def test_engine_indexes_containers_and_takes_out_what_is_gone(spark, tmp_path):
     (root / "o.zip").unlink()
     e.index(f"file://{root}")
     assert paths() == {"m.eml", "m.eml\\w.txt"}
+
+
+def test_engine_opens_only_what_changed(spark, tmp_path, monkeypatch):
+    from findling.plans import engine as EN
+
+    root = tmp_path / "docs"
+    (root / "sub").mkdir(parents=True)
+    for n in range(6):
+        (root / "sub" / f"f{n}.txt").write_text(f"walrus number {n}")
+    opened = []
+    real = EN.read_files
+
+    def counting(paths, folder):
+        opened.append(sorted(r["path"] for r in paths.collect()))
+        return real(paths, folder)
+
+    monkeypatch.setattr(EN, "read_files", counting)
+    e = EN.Engine(spark, f"file://{tmp_path}/index")
+    e.index(f"file://{root}")
+    (root / "sub" / "f3.txt").write_text("an ostrich instead")
+    (root / "new.md").write_text("brand new")
+    (root / "sub" / "f5.txt").unlink()
+    assert e.index(f"file://{root}") == 3
+    assert opened[1] == ["new.md", "sub/f3.txt"]
+    ids = {r.path: r.id for r in e.files().collect()}
+    assert len(set(ids.values())) == 6 and all(i >= 0 for i in ids.values())
+    # what a watcher sees: a change, a removal, something passed by, a new folder
+    (root / "sub" / "f0.txt").write_text("changed once more")
+    (root / "sub" / "f1.txt").unlink()
+    (root / "deep").mkdir()
+    (root / "deep" / "g.txt").write_text("a giraffe")
+    (root / "sub" / "~$l.docx").write_text("x")
+    events = spark.createDataFrame([("sub/f0.txt", "modified"), ("sub\\f1.txt", "removed"), ("sub/~$l.docx", "created"), ("deep", "created"), (None, "created")], "path string, event string")
+    assert e.note(events, f"file://{root}") == 3 and e.note(events, f"file://{root}") == 0
+    assert {r.path for r in e.files().collect()} == {"new.md", "deep/g.txt", *(f"sub/f{n}.txt" for n in (0, 2, 3, 4))}
+    assert e.files().where("path = 'sub/f0.txt'").first()["id"] == ids["sub/f0.txt"]
+    assert e.index(f"file://{root}") == 0
+
+
+def test_engine_ids_never_meet(spark, tmp_path, monkeypatch):
+    from findling.plans import engine as EN
+
+    real = EN.hash_id
+    monkeypatch.setattr(EN, "hash_id", lambda k, salt: F.lit(7).cast("long") if salt == 0 else real(k, salt))
+    root = tmp_path / "docs"
+    root.mkdir()
+    for n in range(3):
+        (root / f"{n}.txt").write_text(f"text {n}")
+    e = EN.Engine(spark, f"file://{tmp_path}/index")
+    e.index(f"file://{root}")
+    (root / "3.txt").write_text("text 3")
+    e.index(f"file://{root}")
+    rows = e.files().collect()
+    assert len({r.id for r in rows}) == 4
+    own = {r.file_id: r.text for r in e.passages().collect()}
+    assert all(own[r.id] == f"text {r.path[0]}" for r in rows)
+
+
+def test_engine_search_filters_and_orders(spark, tmp_path):
+    from findling.plans.engine import Engine
+
+    for folder, files in (("one", {"b10.txt": "the common rent contract", "b9.md": "common rent only", "sub/c.py": "common code"}), ("two", {"d.txt": "common rent elsewhere"})):
+        for n, t in files.items():
+            at = tmp_path / folder / n
+            at.parent.mkdir(parents=True, exist_ok=True)
+            at.write_text(t)
+    e = Engine(spark, f"file://{tmp_path}/index")
+    e.index(f"file://{tmp_path}/one", 1)
+    e.index(f"file://{tmp_path}/two", 2)
+    found = lambda *a, **k: [r["path"] for r in e.search(*a, **k).collect()]
+    assert set(found("rent contract")) == {"b10.txt", "b9.md", "sub/c.py", "d.txt"} and found("rent contract")[0] == "b10.txt"
+    assert found("rent", folder_id=2) == ["d.txt"] and found("rent", under="sub") == ["sub/c.py"]
+    ids = {r.path: r.id for r in e.files().collect()}
+    assert found("rent", file_ids=[ids["b9.md"]]) == ["b9.md"] and found("rent", file_ids=[]) == []
+    rows = e.search("common contract").collect()
+    assert not any(r["keyword"] for r in rows if r["path"] != "b10.txt")  # all passages hold "common"
+    assert all(r["similarity"] is not None for r in rows)
+    assert [p for p in found("zzz", order="name")] == ["b9.md", "b10.txt", "sub/c.py", "d.txt"]
+    assert found("zzz", order="type")[0] == "b9.md" and found("zzz", order="type")[-1] == "sub/c.py"
+    assert found("zzz", order="size")[0] == "b10.txt"
+    with pytest.raises(ValueError):
+        e.search("x", order="colour")
+    near = e.similar(ids["b9.md"]).collect()
+    assert {r.file_id for r in near} == set(ids.values()) - {ids["b9.md"]}
+    assert e.similar(ids["b9.md"], query="contract", folder_id=1).count() == 2
+    assert e.similar_to_file("x.txt", b"common rent only").first()["file_id"] == ids["b9.md"]
+    assert e.highlight("rent contract").first()["path"] == "b10.txt"
+
+
+def test_map_is_kept_and_grows(spark, tmp_path):
+    from findling.plans.engine import Engine
+
+    root = tmp_path / "docs"
+    root.mkdir()
+    words = ["walrus", "rent", "recipe"]
+    for n in range(160):
+        (root / f"{n}.txt").write_text(f"{words[n % 3]} " * 5 + f"w{n}")
+    e = Engine(spark, f"file://{tmp_path}/index")
+    e.index(f"file://{root}")
+    first = {r.file_id: (r.x, r.y, r.z, r.rough) for r in e.map(epochs=60).collect()}
+    assert len(first) == 160 and not any(v[3] for v in first.values())
+    (root / "new.txt").write_text("walrus " * 6)
+    (root / "5.txt").unlink()
+    e.index(f"file://{root}")
+    second = {r.file_id: (r.x, r.y, r.z, r.rough) for r in e.map(epochs=60).collect()}
+    assert len(second) == 160 and sum(v[3] for v in second.values()) == 1
+    assert all(second[i] == first[i] for i in second if i in first)
+    assert {r.file_id for r in Engine(spark, f"file://{tmp_path}/index").map(epochs=60).collect()} == set(second)
+
+
+def test_single_search_equals_the_search_of_many(spark):
+    from findling.operators import keyword as KW
+
+    rng = np.random.default_rng(4)
+    words = ["rent", "rental", "walrus", "contract", "the", "plan", "planet", "x1"]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 3))), " ".join(rng.choice(words, rng.integers(0, 12)))) for i in range(120)] + [(900, None, None)]
+    p = spark.createDataFrame(rows, "file_id long, name string, text string")
+    for terms in (["rent", "plan"], ["walrus"], ["x1", "zzz"], []):
+        q = spark.createDataFrame([(1, terms)], "query_id int, terms array<string>")
+        many = [(r.file_id, round(r.score, 6)) for r in KW.bm25(p, ["file_id"], q, "query_id", "terms", k=10, prefix=True).orderBy("rank").collect()]
+        assert many == [(r.file_id, round(r.score, 6)) for r in KW.bm25_single(p, ["file_id"], terms, 10, prefix=True).collect()]
+    common = spark.createDataFrame([(i, "", "all " + ("one" if i == 3 else "")) for i in range(6)], "file_id long, name string, text string")
+    assert [r.file_id for r in KW.bm25_single(common, ["file_id"], ["all", "one"], 10, prefix=True, drop_common=True).collect()] == [3]
+    assert KW.bm25_single(common, ["file_id"], ["all"], 10, prefix=True, drop_common=True).count() == 0
+    assert KW.bm25_single(common.limit(0), ["file_id"], ["all"], 10).count() == 0
