@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from findling.operators.sums import tree_sum
+
 MOST, LEAST_TSNE, EDGE, QUANTILE = 6000, 150, 1.15, 0.98
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -28,29 +30,22 @@ def sample(rows: DataFrame, key: str = "file_id", most: int = MOST) -> DataFrame
 
 
 def moments(rows: DataFrame, vector: str, dim: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number, mean and covariance of all vectors; a task hands on dim x dim numbers."""
+    """Number, mean and covariance of all vectors; a task hands on (dim + 1) x dim numbers, added up as a tree."""
 
-    def run(batches):
-        n, s, c = 0, np.zeros(dim), np.zeros((dim, dim))
+    def partial(batches):
+        n, total = 0, np.zeros((dim + 1, dim))
         for b in batches:
-            x = np.array([v for v in b[vector] if v is not None and len(v) == dim], np.float64).reshape(-1, dim)
-            n, s, c = n + len(x), s + x.sum(0), c + x.T @ x
-        yield pd.DataFrame({"n": [n], "s": [s.tobytes()], "c": [c.tobytes()]})
-
-    def add(_, parts):
-        s = sum(np.frombuffer(x) for x in parts["s"])
-        c = sum(np.frombuffer(x) for x in parts["c"])
-        return pd.DataFrame({"n": [int(parts["n"].sum())], "s": [s.tobytes()], "c": [c.tobytes()]})
-
-    schema = "n bigint, s binary, c binary"
-    parts = rows.select(vector).mapInPandas(run, schema)
-    # added up in two steps, so that no task gets the numbers of all others
-    some = parts.groupBy(F.pmod(F.xxhash64("s"), F.lit(32)).alias("k")).applyInPandas(add, schema)
-    got = some.groupBy(F.lit(0).alias("k")).applyInPandas(add, schema).collect()
-    if not got or not got[0]["n"]:
+            x = np.array([v for v in b.column(0).to_pylist() if v is not None and len(v) == dim], np.float64).reshape(-1, dim)
+            n += len(x)
+            total[0] += x.sum(0)
+            total[1:] += x.T @ x
+        return n, total
+
+    n, total = tree_sum(rows.select(vector), partial, (dim + 1, dim))
+    if not n:
         return 0, np.zeros(dim), np.zeros((dim, dim))
-    n, mean = got[0]["n"], np.frombuffer(got[0]["s"]) / got[0]["n"]
-    return n, mean, np.frombuffer(got[0]["c"]).reshape(dim, dim) / n - np.outer(mean, mean)
+    mean = total[0] / n
+    return n, mean, total[1:] / n - np.outer(mean, mean)
 
 
 def principal(rows: DataFrame, vector: str, dim: int, k: int = 50) -> tuple[np.ndarray, np.ndarray]:
