@@ -23,13 +23,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from findling.operators.sums import tree_sum
 from findling.session import bounded, stored
 
 WINDOW, DIMENSIONS, OVERSAMPLING, COSINE, EXACT = 56, 112, 16, 0.64, 0.40
@@ -132,14 +132,36 @@ def passages(ids: list[np.ndarray], weight: np.ndarray, window: int = WINDOW) ->
     return document, row, term, value
 
 
-def dense(row: np.ndarray, term: np.ndarray, value: np.ndarray, n_terms: int, block: int = 1024) -> Iterator[tuple[int, np.ndarray]]:
-    """The rows as dense blocks (first row, matrix), for which products are fast."""
-    n = int(row[-1]) + 1 if len(row) else 0
-    for a in range(0, n, block):
-        lo, hi = np.searchsorted(row, [a, a + block])
-        m = np.zeros((min(block, n - a), n_terms), np.float32)
-        m[row[lo:hi] - a, term[lo:hi]] = value[lo:hi]
-        yield a, m
+class Rows:
+    """Sparse rows (sorted by row), as many as there are, over the terms."""
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int | None = None):
+        self.n = (int(row[-1]) + 1 if len(row) else 0) if n is None else n
+        self.row, self.term, self.value = row, term, value.astype(np.float32)
+        self.starts = np.searchsorted(row, np.arange(self.n + 1))
+
+    def blocks(self, rows: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, terms that occur, dense rows over these): narrow however many terms there are."""
+        for a in range(0, self.n, rows):
+            lo, hi = self.starts[a], self.starts[min(a + rows, self.n)]
+            terms, at = np.unique(self.term[lo:hi], return_inverse=True)
+            m = np.zeros((min(rows, self.n - a), len(terms)), np.float32)
+            m[self.row[lo:hi] - a, at] = self.value[lo:hi]
+            yield a, terms, m
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        """The rows times a matrix of terms x columns."""
+        out = np.zeros((self.n, x.shape[1]), np.float32)
+        for a, terms, m in self.blocks():
+            out[a : a + len(m)] = m @ x[terms]
+        return out
+
+    def turned_times(self, y: np.ndarray, n_terms: int) -> np.ndarray:
+        """The rows turned, times a matrix of rows x columns."""
+        out = np.zeros((n_terms, y.shape[1]), np.float64)
+        for a, terms, m in self.blocks():
+            out[terms] += m.T @ y[a : a + len(m)]
+        return out
 
 
 def align(item: np.ndarray, doc: np.ndarray) -> tuple[float, int, int, int, int, list[int]]:
@@ -209,8 +231,7 @@ class Signs:
 
     def candidates(self, ids: list[np.ndarray], most: int = 4_000_000) -> Iterator[tuple[int, int, int]]:
         """(document, item, signs shared) of all pairs that share enough; an item's sign counts as often as the item has it."""
-        n_items = len(self.need)
-        block = max(1, most // n_items)
+        n_items, block = len(self.need), 400
         for a in range(0, len(ids) if len(self.keys) else 0, block):
             part = ids[a : a + block]
             flat = np.concatenate(part).astype(np.int64)
@@ -224,10 +245,18 @@ class Signs:
             both = np.unique(doc_of[hit] * len(self.keys) + at[hit])
             d, at = both // len(self.keys), both % len(self.keys)
             times = self.first[at + 1] - self.first[at]
-            entry = np.arange(times.sum()) + np.repeat(self.first[at] - (np.cumsum(times) - times), times)
-            shared = np.bincount(np.repeat(d, times) * n_items + self.items[entry], minlength=len(part) * n_items).reshape(len(part), n_items)
-            for d, k in np.argwhere((shared > 0) & (shared >= self.need)):
-                yield a + int(d), int(k), int(shared[d, k])
+            # entries of a sign that very many items have are taken in portions of documents
+            total, low = np.cumsum(times), 0
+            while low < len(d):
+                high = int(np.searchsorted(total, (total[low - 1] if low else 0) + most, side="right"))
+                high = len(d) if high >= len(d) else max(int(np.searchsorted(d, d[high])), int(np.searchsorted(d, d[low], side="right")))
+                n = times[low:high]
+                entry = np.arange(n.sum()) + np.repeat(self.first[at[low:high]] - (np.cumsum(n) - n), n)
+                pair, shared = np.unique(np.repeat(d[low:high], n) * n_items + self.items[entry], return_counts=True)
+                enough = shared >= self.need[pair % n_items]
+                for p, count in zip(pair[enough], shared[enough]):
+                    yield a + int(p // n_items), int(p % n_items), int(count)
+                low = high
 
 
 def held(item: np.ndarray, doc: np.ndarray, least: float = PARAPHRASE, weight: np.ndarray | None = None) -> tuple[float, float, float, float, int]:
@@ -334,51 +363,45 @@ def find_leaks(
         df[t] = n
     n_docs, df = df[n_terms], df[:n_terms]
     weight = (np.log((n_docs + 1) / (df + 1)) + 0.1).astype(np.float32)
-    _, i_row, i_term, i_value = passages(terms.items, weight, max(window, max(map(len, terms.items)) * 2))
-    item_rows = np.zeros((len(terms.items), n_terms), np.float32)
     has = [k for k, x in enumerate(terms.items) if (weight[x] > 0).any()]
-    for k in has:
-        t, tf = np.unique(terms.items[k], return_counts=True)
-        item_rows[k, t] = np.minimum(tf, 2) * weight[t]
-    item_rows /= np.maximum(np.linalg.norm(item_rows, axis=1, keepdims=True), 1e-9)
-
-    def summed(partial, rows: int, columns: int, block: int = 64) -> tuple[np.ndarray, int]:
-        """The sum of ``rows x columns`` arrays that the tasks make, added up by block of rows where they are."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, n = np.zeros((rows, columns), np.float32), 0
+    item_parts: list[tuple[np.ndarray, np.ndarray]] = []
+    for x in terms.items:
+        t, tf = np.unique(x, return_counts=True)
+        v = np.minimum(tf, 2) * weight[t]
+        item_parts.append((t, (v / max(float(np.linalg.norm(v)), 1e-9)).astype(np.float32)))
+    item_rows = Rows(
+        np.repeat(np.arange(len(item_parts)), [len(t) for t, _ in item_parts]), np.concatenate([t for t, _ in item_parts]).astype(np.int64),
+        np.concatenate([v for _, v in item_parts]), len(item_parts),
+    )
+
+    def summed(partial: Callable[[Rows], np.ndarray], rows: int, columns: int) -> tuple[np.ndarray, int]:
+        """The sum of ``rows x columns`` arrays that the tasks make of their passages."""
+
+        def of_task(batches: Iterator[pa.RecordBatch]) -> tuple[int, np.ndarray]:
+            total, n = np.zeros((rows, columns)), 0
             for _, ids in batches_of(batches):
                 _, row, term, value = passages(ids, weight, window)
-                for _, m in dense(row, term, value, n_terms):
-                    total += partial(m)
-                    n += len(m)
-            at = list(range(0, rows, block))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([n] * len(at), pa.int64()), pa.array([total[a : a + block].tobytes() for a in at], pa.binary())], ["at", "n", "part"])
-
-        def add(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-            x = sum(np.frombuffer(p, np.float32).astype(np.float64) for p in parts["part"])
-            return pd.DataFrame({"at": [key[0]], "n": [int(parts["n"].sum())], "part": [x.tobytes()]})
-
-        schema = "at int, n bigint, part binary"
-        got = tokens.select("ids").mapInArrow(run, schema).groupBy("at").applyInPandas(add, schema)
-        out, n = np.zeros((rows, columns)), 0
-        for a, n, part in bounded(got, -(-rows // block), "blocks of sums"):
-            out[a : a + block] = np.frombuffer(part).reshape(-1, columns)
-        return out, n
+                m = Rows(row, term, value)
+                total += partial(m)
+                n += m.n
+            return n, total
+
+        n, total = tree_sum(tokens.select("ids"), of_task, (rows, columns))
+        return total, n
 
     wide = min(dimensions + OVERSAMPLING, n_terms)
     omega = np.random.default_rng(seed).standard_normal((n_terms, wide)).astype(np.float32)
-    z, n_rows = summed(lambda m: m.T @ (m @ omega), n_terms, wide)
+    z, n_rows = summed(lambda m: m.turned_times(m.times(omega), n_terms), n_terms, wide)
     weigh = 4.0 * max(n_rows, 1) / max(len(has), 1)  # the items' share of the matrix stays the same at every size
-    q, _ = np.linalg.qr(z + weigh * item_rows.T.astype(np.float64) @ (item_rows @ omega))
+    q, _ = np.linalg.qr(z + weigh * item_rows.turned_times(item_rows.times(omega), n_terms))
     # with the basis of the first pass, one more power step on the items sharpens it at no cost
-    q, _ = np.linalg.qr(np.concatenate([q, item_rows.T @ (item_rows @ q)], axis=1)[:, : 2 * wide] if n_terms >= 2 * wide else q)
+    q, _ = np.linalg.qr(np.concatenate([q, item_rows.turned_times(item_rows.times(q.astype(np.float32)), n_terms)], axis=1)[:, : 2 * wide] if n_terms >= 2 * wide else q)
     q = q[:, :wide].astype(np.float32)
-    gram, _ = summed(lambda m: (y := m @ q).T @ y, q.shape[1], q.shape[1])
-    y = item_rows @ q
+    gram, _ = summed(lambda m: (y := m.times(q)).T @ y, q.shape[1], q.shape[1])
+    y = item_rows.times(q).astype(np.float64)
     values, vectors = np.linalg.eigh(gram + weigh * (y.T @ y))
     basis = (q @ vectors[:, np.argsort(-values)[:dimensions]].astype(np.float32)).astype(np.float32)
-    latent = item_rows @ basis
+    latent = item_rows.times(basis)
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
     latent[[k for k in range(len(latent)) if k not in set(has)]] = 0
 
@@ -392,16 +415,19 @@ def find_leaks(
         at = {d: n for n, d in enumerate(chosen)}
         best, near = [0.0] * len(pairs), [False] * len(pairs)
         doc_of, row, term, value = passages([ids[d] for d in chosen], weight, window)
-        for first, m in dense(row, term, value, n_terms):
-            x = m @ basis
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-            docs = doc_of[first : first + len(m)]
-            for n, (d, k) in enumerate(pairs):
-                lo, hi = np.searchsorted(docs, [at[d], at[d] + 1])
-                if lo < hi:
-                    sim = x[lo:hi] @ latent[k]
-                    best[n] = max(best[n], float(sim.max()))
-                    near[n] = near[n] or bool(((sim >= cosine) & (m[lo:hi] @ item_rows[k] >= EXACT)).any())
+        m = Rows(row, term, value)
+        x = m.times(basis)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        for n, (d, k) in enumerate(pairs):
+            lo, hi = np.searchsorted(doc_of, [at[d], at[d] + 1])
+            if lo < hi:
+                sim = x[lo:hi] @ latent[k]
+                best[n] = max(0.0, float(sim.max()))
+                a, z = m.starts[lo], m.starts[hi]
+                own, weights = item_parts[k]
+                where = np.minimum(np.searchsorted(own, m.term[a:z]), len(own) - 1)
+                full = np.bincount(m.row[a:z] - lo, np.where(own[where] == m.term[a:z], weights[where], 0) * m.value[a:z], hi - lo)
+                near[n] = bool(((sim >= cosine) & (full >= EXACT)).any())
         return list(zip(best, near))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
