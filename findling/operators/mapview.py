@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from findling.operators.sums import tree_sum
+from findling.operators.vector import nth_value
 
 MOST, LEAST_TSNE, EDGE, QUANTILE = 6000, 150, 1.15, 0.98
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -66,6 +67,17 @@ def project(rows: DataFrame, vector: str, mean: np.ndarray, comps: np.ndarray, n
     return out.select(*rows.columns, *[F.element_at("__p", i + 1).alias(n) for i, n in enumerate(names)])
 
 
+def _quantile(rows: DataFrame, value: str, share: float) -> float | None:
+    """A quantile between its two neighbours in order, found by counts."""
+    n = rows.where(F.col(value).isNotNull()).count()
+    if not n:
+        return None
+    at = share * (n - 1)
+    low = nth_value(rows, value, int(at))
+    high = nth_value(rows, value, min(int(at) + 1, n - 1)) if at > int(at) else low
+    return low + (high - low) * (at - int(at))
+
+
 def fit(rows: DataFrame, coords: list[str]) -> DataFrame:
     """Centred, scaled by the 0.98 quantile of all points' distances, clamped."""
     means = rows.agg(*[F.avg(c).alias(f"__{c}") for c in coords])
@@ -73,9 +85,8 @@ def fit(rows: DataFrame, coords: list[str]) -> DataFrame:
     for c in coords:
         x = x.withColumn(c, F.col(c) - F.col(f"__{c}"))
     size = F.sqrt(sum((F.col(c) * F.col(c) for c in coords[1:]), F.col(coords[0]) * F.col(coords[0])))
-    scale = x.agg(F.percentile(size, QUANTILE).alias("__q"))
-    y = x.crossJoin(F.broadcast(scale))
-    q = F.when(F.col("__q") > 0, F.col("__q")).otherwise(1.0)
+    y = x
+    q = F.lit(_quantile(x.select(size.alias("size")), "size", QUANTILE) or 1.0)
     clamp = lambda c: F.greatest(F.least(F.col(c) / q, F.lit(EDGE)), F.lit(-EDGE))
     return y.select(*[clamp(c).alias(c) if c in coords else F.col(c) for c in rows.columns])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from findling.functions import paths as P, text as X
 from findling.operators.scans import MTIME_NOISE
@@ -51,21 +51,21 @@ def upsert_files(files: DataFrame, entries: DataFrame, at: float) -> DataFrame:
     return kept.select(*cols).unionByName(merged.select(*[F.col(c).cast(dict(files.dtypes)[c]).alias(c) if c in merged.columns else F.lit(None).cast(dict(files.dtypes)[c]).alias(c) for c in cols]))
 
 
-def number_rows(rows: DataFrame, key: str) -> DataFrame:
-    """Rows with ``n`` from 1 in order of the key: sorted by ranges, numbered in each, moved on by those before.
+def number_rows(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """Rows with ``n`` from 1 in order: sorted by ranges, numbered in each, moved on by those before.
 
     The ranges are written once, as what they hold must not change between counting and numbering.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stored(rows.repartitionByRange(parts, key).withColumn("__part", F.spark_partition_id()), "ranges")
+    ranged = stored(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
     counts = dict(map(tuple, bounded(ranged.groupBy("__part").agg(F.count("*")), max(parts, 1), "ranges")))
     before, offsets = 0, []
     for p in sorted(counts):
         offsets.append((p, before))
         before += counts[p]
     offset = spark.createDataFrame(offsets, "__part int, __before bigint")
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(key))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     # as many rows as there are ranges
     return ranged.withColumn("__own", own).join(F.broadcast(offset), "__part").withColumn("n", F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
 

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from findling.functions import vectors as V
+from findling.operators.state import number_rows
 from findling.session import bounded
 
 NEAR = 0.96
@@ -53,10 +53,9 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, key: list[str], que
             b = b.sort_values(key)
             s = np.stack(b[vector].to_numpy()).astype(np.float64) @ q.T
             n = min(k, len(b))
-            top = np.argsort(-s, axis=0, kind="stable")[:n]
-            for j, i in enumerate(ids):
-                part = b[key].iloc[top[:, j]]
-                yield part.assign(**{query_key: i, "similarity": s[top[:, j], j]})[[query_key, *key, "similarity"]]
+            top = np.argsort(-s, axis=0, kind="stable")[:n].T  # queries x n, one frame for all of them
+            part = b[key].iloc[top.ravel()].reset_index(drop=True)
+            yield part.assign(**{query_key: np.repeat(np.array(ids), n), "similarity": s.T[np.repeat(np.arange(len(ids)), n), top.ravel()]})[[query_key, *key, "similarity"]]
 
     found = vectors.select(*key, vector).mapInPandas(run, schema)
     order = Window.partitionBy(query_key).orderBy(F.desc("similarity"), *key)
@@ -67,12 +66,55 @@ def best_per_file(hits: DataFrame, file: str = "file_id") -> DataFrame:
     return hits.groupBy(file).agg(F.max("similarity").alias("similarity"))
 
 
-def mean_vectors(vectors: DataFrame, file: str = "file_id", vector: str = "vector") -> DataFrame:
-    """``file, vector``: the mean of a file's vectors at unit length; sums are formed before the shuffle."""
-    parts = vectors.where(F.col(vector).isNotNull()).select(file, F.posexplode(vector).alias("i", "x"))
-    means = parts.groupBy(file, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    lists = means.groupBy(file).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
-    return lists.select(file, V.normalized(F.col("mean")).alias("vector"))
+def mean_vectors(vectors: DataFrame, file: str = "file_id", vector: str = "vector", hold: int = 20_000) -> DataFrame:
+    """``file, vector``: the mean of a file's vectors at unit length.
+
+    Sums are formed in the tasks, as one array per file, before these are shuffled. Null vectors and such
+    with nulls don't count; of a file's vectors of several lengths those of the most frequent one do (ties:
+    the longer). A sum of no length stays zero.
+    """
+    kind = dict(vectors.dtypes)[file]
+
+    def summed(batches, last: bool):
+        import pyarrow as pa
+
+        def made(held: dict):
+            keys = list(held)
+            if last:
+                best: dict = {}
+                for f, size in keys:
+                    if f not in best or (held[f, size][0], size) > (held[f, best[f]][0], best[f]):
+                        best[f] = size
+                keys = list(best.items())
+            sums = [held[k][1] for k in keys]
+            if last:
+                sums = [s / (float(np.sqrt(s @ s)) or 1.0) for s in (x / held[k][0] for k, x in zip(keys, sums))]
+            return pa.RecordBatch.from_arrays([pa.array([f for f, _ in keys], files), pa.array([held[k][0] for k in keys], pa.int64()), pa.array([s.tolist() for s in sums], pa.list_(pa.float64()))], ["file", "n", "sum"])
+
+        held: dict = {}
+        files = None
+        for batch in batches:
+            files = batch.schema.field(0).type
+            for f, n, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                # sorted by file when summed last: a file is complete when the next begins
+                if last and held and (f,) != (next(reversed(held))[0],) and len(held) >= 1000:
+                    yield made(held)
+                    held = {}
+                if v is None or None in v:
+                    continue
+                x = np.asarray(v, np.float64)
+                before = held.get((f, len(x)))
+                held[f, len(x)] = (n, x) if before is None else (before[0] + n, before[1] + x)
+                if not last and len(held) >= hold:
+                    yield made(held)
+                    held = {}
+        if held:
+            yield made(held)
+
+    schema = f"file {kind}, n bigint, sum array<double>"
+    parts = vectors.select(F.col(file).alias("file"), F.lit(1).cast("bigint").alias("n"), F.col(vector).cast("array<double>").alias("sum")).mapInArrow(lambda b: summed(b, False), schema)
+    means = parts.repartition("file").sortWithinPartitions("file").mapInArrow(lambda b: summed(b, True), schema)
+    return means.select(F.col("file").alias(file), F.col("sum").alias("vector"))
 
 
 def match_share(similarity: Column) -> Column:
@@ -85,13 +127,11 @@ def neighbour_radius(similarity: Column) -> Column:
 
 
 def related_weights(rows: DataFrame, closest: int = 6) -> DataFrame:
-    """Rows by similarity with weight 1 for the first down to 0, and the closest marked."""
-    order = Window.orderBy(F.desc("similarity"), "file_id")
-    n = Window.partitionBy()
-    return (
-        rows.withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(n))
-        .select("file_id", "similarity", F.when(F.col("n") > 1, 1 - F.col("i") / (F.col("n") - 1)).otherwise(1.0).alias("weight"), (F.col("i") < closest).alias("close"))
-    )
+    """Rows by similarity with weight 1 for the first down to 0, and the closest marked; ranked by ranges."""
+    ranked = number_rows(rows.select("file_id", "similarity"), F.desc("similarity"), "file_id")
+    n = ranked.count()
+    i = F.col("n") - 1
+    return ranked.select("file_id", "similarity", (1 - i / F.lit(max(n - 1, 1))).alias("weight"), (i < closest).alias("close"))
 
 
 def nth_value(rows: DataFrame, value: str, n: int, buckets: int = 4096, few: int = 10_000) -> float | None:

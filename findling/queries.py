@@ -97,8 +97,9 @@ def all_terms_match(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", F.concat_ws(" ", "title", "text").alias("text"))
     q = _queries(spark, sf).where(F.size("terms") > 0)
     # each term's start is looked up as a posting, so that only documents with a first term are tested
-    posted = docs.select("doc_id", F.explode(F.array_distinct(X.words(F.col("text")))).alias("w")).withColumn("head", F.substring("w", 1, 1))
-    first = q.select("query_id", "terms", F.element_at("terms", 1).alias("t1")).withColumn("head", F.substring("t1", 1, 1))
+    posted = docs.select("doc_id", F.explode(F.array_distinct(X.words(F.col("text")))).alias("w")).withColumn("head", F.substring("w", 1, 3))
+    # by three letters, or the whole word where it is shorter
+    first = q.select("query_id", "terms", F.element_at("terms", 1).alias("t1")).withColumn("head", F.substring("t1", 1, 3))
     fits = F.when(F.length("t1") < X.WHOLE_WORD_BELOW, F.col("w") == F.col("t1")).otherwise(F.startswith("w", F.col("t1")))
     pairs = posted.join(first, "head").where(fits).select("doc_id", "query_id", "terms").distinct()
     return pairs.join(docs, "doc_id").where(X.has_all_terms(F.col("terms"), F.col("text"))).select("query_id", "doc_id")
@@ -149,12 +150,12 @@ step AS (
               CASE WHEN strpos(rv, chr(10)) > 0 THEN 1500 - strpos(rv, chr(10)) ELSE -1 END AS b2,
               CASE WHEN strpos(rv, ' .') > 0 THEN 1500 - strpos(rv, ' .') - 1 ELSE -1 END AS b3,
               CASE WHEN strpos(rv, ' ') > 0 THEN 1500 - strpos(rv, ' ') ELSE -1 END AS b4
-            FROM (SELECT *, reverse(substr(t, pos + 1, 1500)) AS rv FROM step WHERE fin < length(t) AND n < 400))))),
+            FROM (SELECT *, reverse(substr(t, pos + 1, 1500)) AS rv FROM step WHERE fin < length(t)))))),
 p AS (SELECT s.doc_id, s.t, a.pos AS start, s.fin FROM step s JOIN step a ON a.doc_id = s.doc_id AND a.n = s.n - 1 WHERE s.n > 0),
 x AS (SELECT *, regexp_replace(substr(t, start + 1, fin - start), '\A{_W}+|{_W}+\z', '', 'g') AS body FROM p)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk, start,
        greatest(length(substr(t, 1, start)) - length(replace(substr(t, 1, start), chr(12), '')) + 1, 1) AS page, md5(replace(body, chr(12), '')) AS h
-FROM x WHERE body <> '' QUALIFY chunk < 300"""
+FROM x WHERE body <> ''"""
 
 
 # keywords
@@ -187,11 +188,15 @@ ORACLES["postings"] = f"WITH {_POSTED} SELECT doc_id, term, tf_name, tf_text FRO
 
 @query
 def common_terms(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _docs(spark, sf)
-    return KW.common_terms(KW.postings(docs, ["doc_id"]), docs)
+    """Words that more than half of the documents hold, of all and of those of one language."""
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("?")).alias("lang"), F.col("title").alias("name"), "text")
+    posted = KW.postings(docs, ["doc_id", "lang"])
+    return KW.common_terms(posted, docs).select(F.lit("*").alias("lang"), "term", "df").unionByName(KW.common_terms(posted, docs, "lang"))
 
 
-ORACLES["common_terms"] = f"WITH {_POSTED} SELECT term, count(*) AS df FROM p GROUP BY 1 HAVING count(*) * 2 > (SELECT count(*) FROM documents)"
+ORACLES["common_terms"] = f"""WITH {_POSTED}, d AS (SELECT doc_id, coalesce(lang, '?') AS lang FROM documents)
+SELECT '*' AS lang, term, count(*) AS df FROM p GROUP BY ALL HAVING count(*) * 2 > (SELECT count(*) FROM documents)
+UNION ALL SELECT lang, term, df FROM (SELECT lang, term, count(*) AS df FROM p JOIN d USING (doc_id) GROUP BY ALL) JOIN (SELECT lang, count(*) AS n FROM d GROUP BY 1) USING (lang) WHERE df * 2 > n"""
 
 
 @query
@@ -430,15 +435,23 @@ SELECT path, e AS ext, kind, container,
 FROM k"""
 
 
+#: Paths as rules for folders and files meet them.
+ODD_PATHS = (
+    r"C:\phone\Android\data\a.txt", r"C:\Android\obb\x\a.txt", r"C:\data\a.txt", r"D:\$Recycle.Bin\x.doc", r"D:\System Volume Information\t.txt", r"C:\p\node_modules\m\i.js",
+    r"C:\.git\config", r"C:\d\.env", r"C:\d\~$brief.docx", r"C:\d\Drache.kra~", r"C:\d\a.bak", r"C:\d\a.old", r"C:\d\.bak", r"C:\d\plain.txt", "C:/mixed/.hidden/x.md", r"C:\d\~", r"C:\d\a.orig.txt",
+)
+
+
 @query
 def skipped_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """Paths that a scan would pass by, with the reason."""
-    return _names(spark, sf).select("path", T.skip_path(F.filter(F.split("path", r"[\\/]"), lambda x: x != "")).alias("reason")).where("reason is not null")
+    """Paths that a scan would pass by, with the reason: those of the tables and of every kind of rule."""
+    names = _names(spark, sf).unionByName(spark.createDataFrame([(p,) for p in ODD_PATHS], "path string"))
+    return names.select("path", T.skip_path(F.filter(F.split("path", r"[\\/]"), lambda x: x != "")).alias("reason")).where("reason is not null")
 
 
 ORACLES["skipped_paths"] = rf"""
-WITH {_NAMES},
-d AS (SELECT path, list_filter(string_split(replace(path, '/', '\'), '\'), lambda x: x <> '') AS p FROM n),
+WITH {_NAMES}, o AS (SELECT * FROM n UNION ALL SELECT unnest([{", ".join(f"'{p}'" for p in ODD_PATHS)}])),
+d AS (SELECT path, list_filter(string_split(replace(path, '/', '\'), '\'), lambda x: x <> '') AS p FROM o),
 r AS (SELECT path, p, list_filter(list_transform(range(1, len(p)), lambda i:
     CASE WHEN lower(p[i]) IN ('$recycle.bin', 'system volume information') THEN 'hidden'
          WHEN lower(p[i]) IN {_list(T.PROGRAM_FOLDERS)} OR (i > 1 AND lower(p[i - 1]) = 'android' AND lower(p[i]) IN ('data', 'obb')) THEN 'program_folder'
@@ -577,15 +590,15 @@ ORACLES["index_facts"] = f"WITH {_VALID} SELECT count(*) AS files, count_if(stat
 
 @query
 def scan_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """What the first scans found against the files saved, gone ones included."""
-    seen = table(spark, sf, "sightings").where("scan_id <= 40").select("path", "size", "mtime")
+    """What the scans found, by each path's newest signature, against the files saved, gone ones included."""
+    seen = table(spark, sf, "sightings").select("path", "size", "mtime")
     return ST.scan_diff(FO.valid_files(table(spark, sf, "files")), seen)
 
 
 ORACLES["scan_diff"] = rf"""
 WITH {_VALID},
 s AS (SELECT replace(lower(path), '/', '\') AS k, max((mtime, size, status)) AS v FROM valid GROUP BY 1),
-f AS (SELECT replace(lower(path), '/', '\') AS k, max((mtime, size)) AS v FROM sightings WHERE scan_id <= 40 GROUP BY 1)
+f AS (SELECT replace(lower(path), '/', '\') AS k, max((mtime, size)) AS v FROM sightings GROUP BY 1)
 SELECT coalesce(s.k, f.k) AS path_key, CASE WHEN s.k IS NULL THEN 'new' WHEN f.k IS NULL THEN 'gone'
   WHEN s.v[2] <> f.v[2] OR abs(s.v[1] - f.v[1]) > 0.001 OR s.v[3] IN ('pending', 'error') THEN 'changed' ELSE 'same' END AS state
 FROM s FULL OUTER JOIN f ON s.k = f.k"""
@@ -605,9 +618,9 @@ SELECT path, size, mtime FROM f LEFT JOIN s ON s.k = lower(replace(path, '/', '\
 
 @query
 def upserted_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Files after the first scans' sightings were taken in as indexed."""
+    """Files after all sightings were taken in as indexed."""
     files = FO.valid_files(table(spark, sf, "files")).select("id", "folder_id", "path", "size", "mtime", "kind", "status", "chunks", "error", "indexed_at", "muted", "search_name")
-    seen = table(spark, sf, "sightings").where("scan_id <= 10").withColumn("k", P.normcase(F.col("path"))).groupBy("k").agg(F.max(F.struct("mtime", "size", "folder_id", "path")).alias("v"))
+    seen = table(spark, sf, "sightings").withColumn("k", P.normcase(F.col("path"))).groupBy("k").agg(F.max(F.struct("mtime", "size", "folder_id", "path")).alias("v"))
     entries = seen.select("v.folder_id", "v.path", "v.size", "v.mtime", F.lit("doc").alias("kind"), F.lit("indexed").alias("status"), F.lit(1).cast("long").alias("chunks"), F.lit(None).cast("string").alias("error"), F.col("v.path").alias("search_name"))
     return ST.upsert_files(files, entries, 2e9).select("id", "folder_id", P.normcase(F.col("path")).alias("k"), "size", "mtime", "status", "muted")
 
@@ -615,7 +628,7 @@ def upserted_files(spark: SparkSession, sf: str) -> DataFrame:
 ORACLES["upserted_files"] = rf"""
 WITH {_VALID},
 o AS (SELECT *, lower(replace(path, '/', '\')) AS k FROM valid),
-e AS (SELECT lower(replace(path, '/', '\')) AS k, max((mtime, size, folder_id, path)) AS v FROM sightings WHERE scan_id <= 10 GROUP BY 1),
+e AS (SELECT lower(replace(path, '/', '\')) AS k, max((mtime, size, folder_id, path)) AS v FROM sightings GROUP BY 1),
 fresh AS (SELECT k, row_number() OVER (ORDER BY encode(k)) + (SELECT max(id) FROM valid) AS id FROM e WHERE k NOT IN (SELECT k FROM o))
 SELECT id, folder_id, k, size, mtime, status, muted::INT AS muted FROM o WHERE k NOT IN (SELECT k FROM e)
 UNION ALL SELECT coalesce(o.id, fresh.id), v[3], e.k, v[2], v[1], 'indexed', 0 FROM e LEFT JOIN o ON o.k = e.k LEFT JOIN fresh ON fresh.k = e.k"""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from findling.functions import filetypes as T, paths as P
+from findling.operators.vector import nth_value
 
 
 def debounced(events: DataFrame, key: str, at: str, order: str, value: str, gap: str = "2 seconds") -> DataFrame:
@@ -25,11 +26,11 @@ def debounced(events: DataFrame, key: str, at: str, order: str, value: str, gap:
 def route(changes: DataFrame, folders: DataFrame) -> DataFrame:
     """Changed paths with the folder they belong to and what to do: remove, container, file, or nothing (null).
 
-    ``changes`` has path and event; of several roots above a path the longest counts.
+    ``changes`` has path and event; of several roots above a path the one of the smallest id counts.
     """
     roots = folders.select(F.col("id").alias("folder_id"), P.normcase(F.regexp_replace("path", r"[\\/]+$", "")).alias("root"))
     above = changes.select("*", F.explode(P.ancestors(P.normcase(F.col("path")))).alias("root")).join(roots, "root")
-    best = above.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy(F.desc(F.length("root"))))).where("n = 1").drop("n")
+    best = above.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("folder_id"))).where("n = 1").drop("n")
     below = F.filter(F.split(F.substr("path", F.length("root") + 2), r"[\\/]"), lambda x: x != "")
     what = (
         F.when(F.col("event") == "removed", "remove").when(T.skip_path(below).isNotNull(), None)
@@ -64,11 +65,12 @@ def speed(points: DataFrame, at: str, count: str, key: str, back: int = 5) -> Da
     return points.withColumn("speed", F.when(seconds > 0, (F.col(count) - F.lag(count, back).over(w)) / seconds))
 
 
-def last_samples(samples: DataFrame, at: str, keep: int = 600) -> DataFrame:
-    """The newest samples, as a ring of so many would hold."""
-    return samples.orderBy(F.desc(at)).limit(keep)
+def last_samples(samples: DataFrame, at: str, *ties: str, keep: int = 600) -> DataFrame:
+    """The newest samples, as a ring of so many would hold; of equal times the greatest ``ties``."""
+    return samples.orderBy(F.desc(at), *[F.desc(t) for t in ties]).limit(keep)
 
 
 def upper_median(samples: DataFrame, value: str) -> DataFrame:
-    """The element at half of the sorted values, the upper one of two."""
-    return samples.agg(F.sort_array(F.collect_list(value)).alias("v")).select(F.element_at("v", (F.floor(F.size("v") / 2) + 1).cast("int")).alias("median"))
+    """``median``: the element at half of the sorted values, the upper one of two; null if there are none."""
+    n = samples.where(F.col(value).isNotNull()).count()
+    return samples.sparkSession.createDataFrame([(nth_value(samples, value, n // 2) if n else None,)], "median double")
