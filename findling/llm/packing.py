@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from findling.session import bounded, stored
 
 CAPACITY = 2048
-SALTS = 32
+SALT_ROWS = 200_000
 #: Fixed value: a run of letters, digits and _, or one other character that isn't white space.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f\x85\p{Z}]"
 PLACES = T.StructType([T.StructField(n, T.LongType()) for n in ("size", "from_rank", "to_rank", "container")])
@@ -96,7 +96,7 @@ def plan(sizes: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int
     return places
 
 
-def pack(documents: DataFrame, key: str = "doc_id", size: Column | None = None, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack(documents: DataFrame, key: str = "doc_id", size: Column | None = None, capacity: int = CAPACITY, salt_rows: int = SALT_ROWS) -> DataFrame:
     """``key, piece, pieces, from_token, n_tokens, container`` of all documents.
 
     A document larger than ``capacity`` is cut into pieces of ``capacity`` tokens and a rest; full pieces
@@ -110,18 +110,20 @@ def pack(documents: DataFrame, key: str = "doc_id", size: Column | None = None,
     whole = F.when(F.col("total") > capacity, F.floor((F.col("total") - 1) / capacity)).otherwise(0)  # full pieces before the last
     items = sized.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), whole.cast("long"))))
     items = items.withColumn("size", F.least(F.lit(capacity).cast("long"), F.col("total") - F.col("piece") * capacity))
-    items = items.withColumn("salt", F.pmod(F.xxhash64("key", "piece"), F.lit(salts)).cast("int"))
     items = stored(items, "items")
+    spark = documents.sparkSession
+    # a size has as many salts as its documents need, so that none is more than a task's work
+    salts = [(s, -(-n // salt_rows)) for s, n in bounded(items.groupBy("size").agg(F.count("*").alias("n")), capacity + 1, "sizes")]
+    salt_table = spark.createDataFrame(salts, "size bigint, salts bigint")
+    items = items.join(F.broadcast(salt_table), "size").withColumn("salt", F.pmod(F.xxhash64("key", "piece"), F.col("salts")).cast("int")).drop("salts")  # at most capacity + 1 rows
     by_salt = items.groupBy("size", "salt").agg(F.count("*").alias("n"))
-    # at most capacity x salts numbers, whatever the number of documents
-    counts = bounded(by_salt, (capacity + 1) * salts, "sizes and salts")
+    counts = bounded(by_salt, sum(n for _, n in salts), "sizes and salts")  # one number for every ``salt_rows`` documents
     sizes: dict[int, int] = {}
     offsets = []
     for s, salt, n in sorted(tuple(r) for r in counts):
         offsets.append((s, salt, sizes.get(s, 0)))
         sizes[s] = sizes.get(s, 0) + n
     places = plan(sizes, capacity)
-    spark = documents.sparkSession
     offset = spark.createDataFrame(offsets, "size bigint, salt int, offset bigint")
     ranked = (
         items.withColumn("r", F.row_number().over(Window.partitionBy("size", "salt").orderBy("key", "piece")) - 1)

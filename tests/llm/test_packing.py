@@ -59,3 +59,13 @@ def test_tokens_are_counted_by_the_rule(spark):
     texts = ["a_b c-d 3,5 €", "ﬁ ½ é\u00a0x\u2003y\x1cz", "", None, "日本 😀!", "_ __"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(K.token_count(F.col("t"))).collect()] == [len(re.findall(r"\w+|[^\w\s]", t or "")) for t in texts]
+
+
+def test_a_size_that_most_documents_share_is_ranked_in_parts(spark):
+    df = spark.createDataFrame([(i, 700 if i % 3 else i % 2048) for i in range(3000)], "doc_id long, n long")
+    parts = K.pack(df, size=F.col("n"), salt_rows=64).collect()
+    used: dict[int, int] = {}
+    for r in parts:
+        used[r.container] = used.get(r.container, 0) + r.n_tokens
+    assert len(parts) == 3000 and len({r.doc_id for r in parts}) == 3000 and max(used.values()) <= 2048
+    assert len(used) == len(set(r.container for r in K.pack(df, size=F.col("n")).collect()))
