@@ -167,22 +167,25 @@ class Rows:
 def align(item: np.ndarray, doc: np.ndarray) -> tuple[float, int, int, int, int, list[int]]:
     """Best local alignment: (score, from and to in the item, from and to in the document, the item's words that match)."""
     n, m = len(item), len(doc)
-    s = np.zeros((n + 1, m + 1), np.float32)
-    at = np.arange(m + 1, dtype=np.float32)
-    step = np.where(item[:, None] == doc[None, :], np.float32(1), np.float32(-1))
+    # each score plus its place in the document: a gap along the row, which costs one a word, then costs nothing
+    kind = np.int16 if m + n < 32_000 else np.int32
+    at = np.arange(m + 1, dtype=kind)
+    s = np.empty((n + 1, m + 1), kind)
+    s[0] = at
+    same_words = (item.astype(np.int32)[:, None] == doc.astype(np.int32)[None, :]).astype(kind) * kind(2)
     for i in range(1, n + 1):
         above, row = s[i - 1], s[i]
-        np.maximum(above[:-1] + step[i - 1], above[1:] - 1, out=row[1:])
-        np.maximum(row, 0, out=row)
-        row += at  # a gap along the row costs one for each word
+        row[0] = 0
+        np.add(above[:-1], same_words[i - 1], out=row[1:])
+        np.maximum(row[1:], above[1:] - kind(1), out=row[1:])
+        np.maximum(row, at, out=row)
         np.maximum.accumulate(row, out=row)
-        row -= at
-    i, j = np.unravel_index(int(s.argmax()), s.shape)
+    i, j = np.unravel_index(int((s - at).argmax()), s.shape)
     i, j = int(i), int(j)
-    best, ei, ej, matches = float(s[i, j]), i, j, []
-    while i and j and s[i, j] > 0:
+    best, ei, ej, matches = float(s[i, j]) - j, i, j, []
+    while i and j and s[i, j] > j:
         same = item[i - 1] == doc[j - 1]
-        if s[i - 1, j - 1] + (1 if same else -1) == s[i, j]:
+        if s[i - 1, j - 1] + (2 if same else 0) == s[i, j]:
             if same:
                 matches.append(i - 1)
             i, j = i - 1, j - 1
@@ -259,68 +262,42 @@ class Signs:
                 low = high
 
 
-def narrowed(item: np.ndarray, doc: np.ndarray, least: float) -> np.ndarray | None:
-    """The document's dense places; null where their words, in whatever order, or neighbours among them, are too
-    few for a net share of ``least``."""
+class Shape:
+    """What is asked of an item for every document: its words with their numbers, and its neighbours."""
+
+    def __init__(self, item: np.ndarray):
+        self.item = item.astype(np.int64)
+        self.distinct, self.need = np.unique(self.item, return_counts=True)
+        pairs = self.item[:-1] * WIDE + self.item[1:]
+        self.pairs, self.times = np.unique(pairs, return_counts=True)
+
+
+def held(item: np.ndarray | Shape, doc: np.ndarray, least: float = PARAPHRASE, weight: np.ndarray | None = None) -> tuple[float, float, float, float, int]:
+    """(net, span, matched, rare, pieces): shares of the item's words in up to two pieces, in any order of the two.
+
+    ``rare`` is the share of the pieces' weighty words that match: sentences built alike share the common
+    ones only. All 0 where the words in dense places, in whatever order, or neighbours among them, are too few for a
+    net share of ``least``, or the first piece is less than half of it.
+    """
+    shape = item if isinstance(item, Shape) else Shape(item)
+    item, distinct, doc = shape.item, shape.distinct, doc.astype(np.int64)
     n = len(item)
     if not n or not len(doc):
-        return None
-    item, doc = item.astype(np.int64), doc.astype(np.int64)
-    distinct, need = np.unique(item, return_counts=True)
+        return 0.0, 0.0, 0.0, 0.0, 0
     at = np.minimum(np.searchsorted(distinct, doc), len(distinct) - 1)
     doc = dense_regions(doc, distinct[at] == doc)
     at = np.minimum(np.searchsorted(distinct, doc), len(distinct) - 1)
     there = np.bincount(at[distinct[at] == doc], minlength=len(distinct))
-    if np.minimum(need, there).sum() < least * n:
-        return None
-    # m matches with e words off lie in at most e + 2 runs, so m - e - 2 of the item's neighbours are neighbours there
-    if np.isin(item[:-1] * WIDE + item[1:], doc[:-1] * WIDE + doc[1:]).sum() < least * n - 2:
-        return None
-    return doc
-
-
-def best_scores(pairs: list[tuple[np.ndarray, np.ndarray]], most: int = 200_000) -> np.ndarray:
-    """The best local alignment's score of every (item, document), many at a time and without its way."""
-    out = np.zeros(len(pairs), np.float32)
-    order = sorted(range(len(pairs)), key=lambda i: len(pairs[i][1]))
-    a = 0
-    while a < len(order):
-        z = a + 1
-        while z < len(order) and (z + 1 - a) * (len(pairs[order[z]][1]) + 1) <= most:
-            z += 1
-        part = order[a:z]
-        n, m = max(len(pairs[i][0]) for i in part), max(len(pairs[i][1]) for i in part)
-        items, docs = np.full((len(part), n), -4, np.int64), np.full((len(part), m), -3, np.int64)  # what fills up never matches
-        for r, i in enumerate(part):
-            items[r, : len(pairs[i][0])], docs[r, : len(pairs[i][1])] = pairs[i]
-        at = np.arange(m + 1, dtype=np.float32)
-        row, best = np.zeros((len(part), m + 1), np.float32), np.zeros(len(part), np.float32)
-        for i in range(n):
-            new = np.zeros_like(row)
-            np.maximum(row[:, :-1] + np.where(items[:, i : i + 1] == docs, np.float32(1), np.float32(-1)), row[:, 1:] - 1, out=new[:, 1:])
-            np.maximum(new, 0, out=new)
-            new += at
-            np.maximum.accumulate(new, axis=1, out=new)
-            new -= at
-            np.maximum(best, new.max(1), out=best)
-            row = new
-        out[part] = best
-        a = z
-    return out
-
-
-def held(item: np.ndarray, doc: np.ndarray, least: float = PARAPHRASE, weight: np.ndarray | None = None, narrow: bool = False) -> tuple[float, float, float, float, int]:
-    """(net, span, matched, rare, pieces): shares of the item's words in up to two pieces, in any order of the two.
-
-    ``rare`` is the share of the pieces' weighty words that match: sentences built alike share the common
-    ones only. All 0 where ``narrowed`` says so, or the first piece is less than half of a net share of
-    ``least``. ``narrow`` says that ``doc`` is narrowed already.
-    """
-    n = len(item)
-    doc = doc if narrow else narrowed(item, doc, least)
-    if doc is None:
+    if np.minimum(shape.need, there).sum() < least * n:
         return 0.0, 0.0, 0.0, 0.0, 0
-    item = item.astype(np.int64)
+    # m matches with e words off lie in at most e + 2 runs, so m - e - 2 of the item's neighbours are neighbours there
+    if len(shape.pairs):
+        have = doc[:-1] * WIDE + doc[1:]
+        at = np.minimum(np.searchsorted(shape.pairs, have), len(shape.pairs) - 1)
+        seen = np.zeros(len(shape.pairs), bool)
+        seen[at[shape.pairs[at] == have]] = True
+        if shape.times[seen].sum() < least * n - 2:
+            return 0.0, 0.0, 0.0, 0.0, 0
     score, a, b, c, d, matches = align(item, doc)
     if 2 * score < least * n:  # a second piece never scores more
         return 0.0, 0.0, 0.0, 0.0, 0
@@ -447,7 +424,7 @@ def find_leaks(
     latent[[k for k in range(len(latent)) if k not in set(has)]] = 0
 
     item_terms, answer_terms, item_ids = terms.items, terms.answers, terms.item_ids  # not the words, which are large to send
-    signs = Signs(item_terms)
+    signs, shapes = Signs(item_terms), [Shape(x) for x in item_terms]
     heavy_terms = [np.unique(x[weight[x] >= RARE * max(float(weight[x].max(initial=0)), 1e-9)]) for x in item_terms]
 
     def similarities(ids: list[np.ndarray], pairs: list[tuple[int, int]]) -> list[tuple[float, bool]]:
@@ -476,7 +453,6 @@ def find_leaks(
         for part, ids in batches_of(batches):
             good: dict[tuple[int, int], tuple] = {}
             marked = -1
-            close: list[tuple[int, int, bool, np.ndarray]] = []
             for d, k, shared in signs.candidates(ids):
                 if d != marked:
                     there[:], marked = False, d
@@ -485,15 +461,7 @@ def find_leaks(
                 # a copy needs more neighbours than a paraphrase, and one of the weighty words
                 if not answered and (shared < NET * signs.lengths[k] - signs.spare[k] or not there[heavy_terms[k]].any()):
                     continue
-                places = narrowed(item_terms[k], ids[d], PARAPHRASE if answered else NET)
-                if places is not None:
-                    close.append((d, k, answered, places))
-            scores = best_scores([(item_terms[k], places) for _, k, _, places in close])
-            for (d, k, answered, places), score in zip(close, scores):
-                least = PARAPHRASE if answered else NET
-                if 2 * score < least * signs.lengths[k]:
-                    continue  # a second piece never scores more
-                net, span, matched, rare, n = held(item_terms[k], places, least, weight, narrow=True)
+                net, span, matched, rare, n = held(shapes[k], ids[d], PARAPHRASE if answered else NET, weight)
                 copy = net >= NET and span >= SPAN and rare >= RARE_SHARE
                 if copy or (net >= PARAPHRASE and answered):
                     good[d, k] = (net, span, matched, n, answered, copy, copy or rare >= RARE_SHARE)
