@@ -109,6 +109,21 @@ class Engine:
             own = stored(own.join(hit, "path_key", "left_semi"), "known")
             return self._take_in(folder, folder_id, base, stored(self._readable(now), "seen"), own)
 
+    def remove(self, folder_id: int) -> int:
+        """Take a folder out of the index; returns how many files that was.
+
+        One version marks all of its files as gone, so no search finds them from then on; their passages go
+        when the tables are folded. Repeated after a failure it does what is left, or nothing.
+        """
+        with temporary(self.spark):
+            base = self._files.version()
+            gone = stored(self._known(base).where(F.col("folder_id") == folder_id), "gone")
+            n, at = gone.count(), time.time()
+            if n:
+                out = gone.withColumn("status", F.lit("gone")).withColumn("chunks", F.lit(0).cast("long")).withColumn("indexed_at", F.lit(at))
+                self._files.publish(out, f"remove-{folder_id}-{at}", base=base)
+            return n
+
     def watch(self, events: DataFrame, folder: str, checkpoint: str, folder_id: int = 1, gap: str = "2 seconds"):
         """A streaming query that takes in events (path, event, at, n) once a path has been quiet for ``gap``.
 

@@ -461,6 +461,7 @@ def test_engine_search_filters_and_orders(spark, tmp_path):
     assert e.similar(ids["b9.md"], query="contract", folder_id=1).count() == 2
     assert e.similar_to_file("x.txt", b"common rent only").first()["file_id"] == ids["b9.md"]
     assert e.highlight("rent contract").first()["path"] == "b10.txt"
+    assert e.remove(1) == 3 and e.remove(1) == 0 and found("rent") == ["d.txt"]
 
 
 def test_map_is_kept_and_grows(spark, tmp_path):
@@ -499,3 +500,34 @@ def test_single_search_equals_the_search_of_many(spark):
     assert [r.file_id for r in KW.bm25_single(common, ["file_id"], ["all", "one"], 10, prefix=True, drop_common=True).collect()] == [3]
     assert KW.bm25_single(common, ["file_id"], ["all"], 10, prefix=True, drop_common=True).count() == 0
     assert KW.bm25_single(common.limit(0), ["file_id"], ["all"], 10).count() == 0
+
+
+def test_checks_as_json(spark, tmp_path, capsys):
+    from findling import __main__ as M
+
+    (tmp_path / "a.txt").write_text("plain text")
+    with zipfile.ZipFile(tmp_path / "o.zip", "w") as z:
+        z.writestr("in.txt", "x")
+    assert M.rows(spark, "extract", [str(tmp_path / "a.txt")]).first()["text"] == "plain text"
+    assert [r.path for r in M.rows(spark, "walk", [str(tmp_path)]).collect()] == ["a.txt", "o.zip"]
+    assert M.rows(spark, "open", [str(tmp_path / "o.zip")]).first()["path"] == "o.zip\\in.txt"
+    assert M.rows(spark, "terms", ["letter from my landlord"]).first()["terms"] == ["letter", "landlord"]
+    assert len(M.rows(spark, "embed", ["one"]).first()["vector"]) == 8
+    with pytest.raises(SystemExit):
+        M.rows(spark, "nothing", ["x"])
+
+
+def test_watcher_end_to_end(spark, tmp_path):
+    from findling.plans.engine import Engine
+
+    root = tmp_path / "docs"
+    root.mkdir()
+    (root / "a.txt").write_text("walrus")
+    (root / "b.txt").write_text("ostrich")
+    e = Engine(spark, f"file://{tmp_path}/index")
+    rows = [("a.txt", "created", 1, 0), ("a.txt", "modified", 2, 1), ("b.txt", "created", 3, 0), ("gone.txt", "removed", 4, 0), ("later.txt", "created", 5, 600)]
+    df = spark.createDataFrame(rows, "path string, event string, n int, s int").select("path", "event", "n", F.timestamp_seconds("s").alias("at"))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    e.watch(stream, f"file://{root}", f"file://{tmp_path}/cp").awaitTermination()
+    assert {r.path for r in e.files().collect()} == {"a.txt", "b.txt"}
