@@ -11,16 +11,16 @@ from findling.functions.paths import base_name, suffix
 # Extensions by kind.
 PROSE = """.txt .text .md .markdown .mdx .rst .org .adoc .asciidoc .textile .wiki .mediawiki .pod .rmd .qmd .csv .tsv .log
 .html .htm .xhtml .tex .bib .ris .srt .vtt .ass .ssa .lrc .nfo .diz .asc .ics .vcf .po""".split()
-DATA = """.json .jsonl .ndjson .geojson .yaml .yml .toml .ini .cfg .conf .properties .xml .xsd .xsl .xslt .plist .gpx .kml
+CODE = """.json .jsonl .ndjson .geojson .yaml .yml .toml .ini .cfg .conf .properties .xml .xsd .xsl .xslt .plist .gpx .kml
 .opml .rss .atom .xaml .resx .config .props .targets .csproj .vbproj .fsproj .vcxproj .sln .nuspec .reg .inf .graphql
-.gql .proto .prisma""".split()
-LANGUAGES = """.py .pyw .pyi .pyx .ipynb .js .mjs .cjs .ts .tsx .mts .cts .jsx .coffee .java .kt .kts .groovy .gradle .scala
+.gql .proto .prisma
+.py .pyw .pyi .pyx .ipynb .js .mjs .cjs .ts .tsx .mts .cts .jsx .coffee .java .kt .kts .groovy .gradle .scala
 .sbt .clj .cljs .edn .c .h .cpp .hpp .cc .hh .cxx .hxx .ino .m .mm .cs .fs .fsi .fsx .vb .vbs .bas .frm .go .rs .zig .nim
 .odin .d .rb .erb .php .pl .pm .swift .dart .lua .luau .r .jl .hs .lhs .elm .ml .mli .ex .exs .erl .hrl .gleam .rkt .scm
 .lisp .el .pas .dpr .asm .s .f .f90 .f95 .for .cob .cbl .ada .adb .ads .v .sv .vhd .vhdl .tcl .awk .hx .sol .cu .cuh .glsl
 .vert .frag .hlsl .wgsl .shader .gd .pde .sql .sh .bash .zsh .fish .ps1 .psm1 .psd1 .bat .cmd .ahk .au3 .nsi .iss .tf
-.tfvars .hcl .nix .cmake .mk .mak .vim""".split()
-WEB = """.css .scss .sass .less .styl .vue .svelte .astro .jsp .asp .aspx .cshtml .razor .haml .slim .pug .hbs .mustache
+.tfvars .hcl .nix .cmake .mk .mak .vim
+.css .scss .sass .less .styl .vue .svelte .astro .jsp .asp .aspx .cshtml .razor .haml .slim .pug .hbs .mustache
 .ejs .njk .jinja .j2 .twig .liquid .tpl""".split()
 DOCUMENTS = """.pdf .rtf .docx .docm .dotx .dotm .xlsx .xlsm .xltx .xltm .pptx .pptm .ppsx .ppsm .potx .potm .doc .dot .xls
 .xlt .ppt .pps .pot .odt .ott .fodt .ods .ots .fods .odp .otp .fodp .odg .otg .fodg .epub .eml .msg .mht .mhtml""".split()
@@ -50,7 +50,7 @@ MEGABYTE = 1024 * 1024
 LIMITS = {"text": 5 * MEGABYTE, "doc": 200 * MEGABYTE, "image": 80 * MEGABYTE, "raw": 300 * MEGABYTE}
 
 #: Extension -> kind; where two lists name one, pictures win over documents, these over code, that over prose.
-KINDS = {**dict.fromkeys(PROSE, "text"), **dict.fromkeys(DATA + LANGUAGES + WEB, "code"), **dict.fromkeys(DOCUMENTS, "doc"), **dict.fromkeys(PICTURES + RAW, "image")}
+KINDS = {**dict.fromkeys(PROSE, "text"), **dict.fromkeys(CODE, "code"), **dict.fromkeys(DOCUMENTS, "doc"), **dict.fromkeys(PICTURES + RAW, "image")}
 REASONS = {**dict.fromkeys(MAILBOXES, "mailbox"), **dict.fromkeys(PROGRAMS, "program"), **dict.fromkeys(MEDIA, "media")}
 
 

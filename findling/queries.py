@@ -423,7 +423,7 @@ def kinds_of_names(spark: SparkSession, sf: str) -> DataFrame:
     return _names(spark, sf).select("path", P.suffix(p).alias("ext"), T.kind_of(p).alias("kind"), T.decide(p, off=("mail",), formats_off=(".csv",)).alias("decision"), T.container_type(p).alias("container"), T.max_bytes(F.coalesce(T.kind_of(p), F.lit("text")), p).alias("most"))
 
 
-_KIND = f"CASE WHEN e IN {_list(T.PICTURES + T.RAW)} THEN 'image' WHEN e IN {_list(T.DOCUMENTS)} THEN 'doc' WHEN e IN {_list(T.DATA + T.LANGUAGES + T.WEB)} THEN 'code' WHEN e IN {_list(T.PROSE)} THEN 'text' END"
+_KIND = f"CASE WHEN e IN {_list(T.PICTURES + T.RAW)} THEN 'image' WHEN e IN {_list(T.DOCUMENTS)} THEN 'doc' WHEN e IN {_list(T.CODE)} THEN 'code' WHEN e IN {_list(T.PROSE)} THEN 'text' END"
 ORACLES["kinds_of_names"] = f"""
 WITH {_NAMES}, x AS (SELECT path, {_SUFFIX} AS e FROM n),
 k AS (SELECT *, {_KIND} AS kind,

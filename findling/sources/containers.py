@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from findling.functions import filetypes as T
 from findling.sources import ole
 from findling.sources.documents import mail_parts
 
@@ -22,18 +23,14 @@ SCHEMA = "path string, size bigint, mtime double, content binary, problem string
 
 
 def kind(name: str) -> str | None:
+    """zip, tar, single, library or mail by the name; null for plain files. The lists are those of the rules."""
     low = name.lower()
-    if low.endswith((".tar.gz", ".tar.bz2", ".tar.xz", ".tar", ".tgz", ".tbz", ".tbz2", ".txz")):
+    if low.endswith(tuple(f".tar{x}" for x in T.SINGLES)):
         return "tar"
-    if low.endswith(".zip"):
-        return "zip"
-    if low.endswith((".gz", ".bz2", ".xz")):
-        return "single"
-    if low.endswith((".eml", ".msg")):
-        return "mail"
-    if low.endswith((".7z", ".rar", ".cab", ".iso", ".lzh", ".lha", ".zipx", ".xar", ".tzst", ".tar.zst")):
+    if low.endswith(".tar.zst"):
         return "library"
-    return None
+    kinds = (("zip", T.ZIPS), ("tar", T.TARS), ("single", T.SINGLES), ("library", T.LIBRARIES), ("mail", T.MAIL_CONTAINERS))
+    return next((k for k, ends in kinds if low.endswith(tuple(ends))), None)
 
 
 def limited(stream, most: int) -> bytes | None:
