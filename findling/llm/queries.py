@@ -142,8 +142,10 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Every file's group by name, with its number of partners."""
-    return D.grouped(*D.name_classes(table(spark, sf, "files"))).withColumnRenamed("id", "file_id")
+    """Every file's group by vector and by name, with its number of partners."""
+    by_vector = D.grouped(*D.vector_classes(table(spark, sf, "layout"))).withColumn("basis", F.lit("vector"))
+    by_name = D.grouped(*D.name_classes(table(spark, sf, "files"))).withColumn("basis", F.lit("path"))
+    return by_vector.unionByName(by_name).withColumnRenamed("id", "file_id")
 
 
 # 5: one ranking of search results
