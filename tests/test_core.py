@@ -531,3 +531,18 @@ def test_watcher_end_to_end(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     e.watch(stream, f"file://{root}", f"file://{tmp_path}/cp").awaitTermination()
     assert {r.path for r in e.files().collect()} == {"a.txt", "b.txt"}
+
+
+def test_mean_vectors_with_holes_and_lengths(spark):
+    from findling.operators import vector as VE
+
+    rng = np.random.default_rng(5)
+    rows = [(int(i % 7), rng.normal(size=4).tolist()) for i in range(80)]
+    odd = [(100, None), (101, [1.0, None, 2.0, 3.0]), (102, [0.0] * 4), (103, [1.0, 2.0]), (103, [3.0, 0.0, 4.0]), (103, [3.0, 0.0, 4.0]), (104, [])]
+    df = spark.createDataFrame(rows + odd, "file_id long, vector array<double>").repartition(5)
+    got = {r.file_id: r.vector for r in VE.mean_vectors(df, hold=3).collect()}
+    for f in range(7):
+        m = np.mean([v for k, v in rows if k == f], axis=0)
+        assert np.allclose(got[f], m / np.linalg.norm(m))
+    assert 100 not in got and 101 not in got and got[102] == [0.0] * 4 and np.allclose(got[103], [0.6, 0.0, 0.8]) and got[104] == []
+    assert VE.mean_vectors(df.limit(0)).count() == 0
