@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,10 +16,10 @@ from findling.session import bounded
 FAN, STEPS = 64, 3
 
 
-def tree_sum(rows: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], tuple[int, np.ndarray]], shape: tuple[int, int], block: int = 64) -> tuple[int, np.ndarray]:
+def tree_sum(rows: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], tuple[int, np.ndarray]], shape: tuple[int, int], block: int = 64, tasks: int | None = None) -> tuple[int, np.ndarray]:
     """(n, sum) of the counts and arrays of one shape that ``partial`` makes of each task's batches.
 
-    An array travels in blocks of its rows. What any task holds is ``FAN`` blocks, however many tasks there
+    An array travels in blocks of its rows, in as many steps as ``tasks`` need where their number is known. What any task holds is ``FAN`` blocks, however many tasks there
     are; the driver gets one array.
     """
     height, width = shape
@@ -37,8 +38,9 @@ def tree_sum(rows: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], tupl
         return pd.DataFrame({"task": [key[0]], "at": [key[1]], "n": [int(parts["n"].sum())], "part": [total.tobytes()]})
 
     level = rows.mapInArrow(run, "at int, n bigint, part binary").withColumn("task", F.spark_partition_id())
-    for step in range(STEPS):
-        group = F.floor(F.col("task") / FAN).cast("int") if step < STEPS - 1 else F.lit(0)
+    steps = STEPS if tasks is None else max(1, math.ceil(math.log(max(tasks, 1), FAN)))
+    for step in range(steps):
+        group = F.floor(F.col("task") / FAN).cast("int") if step < steps - 1 else F.lit(0)
         level = level.withColumn("task", group).groupBy("task", "at").applyInPandas(add, schema)
     out, n = np.zeros(shape), 0
     for _, at, count, part in bounded(level, len(starts), "blocks of sums"):
