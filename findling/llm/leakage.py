@@ -357,6 +357,8 @@ def find_leaks(
     named = documents.select(F.col(key).alias("key"), F.col(text).alias("t"))
     tokens = stored(named.mapInArrow(tokenise, f"key {kind}, ids array<int>"), "terms")
 
+    scans = tokens.rdd.getNumPartitions()  # of a table just written: planned, not run
+
     def batches_of(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
@@ -404,7 +406,7 @@ def find_leaks(
                 n += m.n
             return n, total
 
-        n, total = tree_sum(tokens.select("ids"), of_task, (rows, columns))
+        n, total = tree_sum(tokens.select("ids"), of_task, (rows, columns), tasks=scans)
         return total, n
 
     wide = min(dimensions + OVERSAMPLING, n_terms)
