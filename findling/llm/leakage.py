@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ MOST_ITEMS = 100_000
 WIDE = np.int64(1) << np.int64(32)
 WORD = re.compile(r"\w+")  # underscores are markup and gone by then
 MARKUP = re.compile(r"<[^<>\n]{1,30}>|[*_`]+|[­​‌‍﻿]")
-PLAIN = frozenset("<*_`\u00ad\u200b\u200c\u200d\ufeff")
+PLAIN = "<*_`\u00ad\u200b\u200c\u200d\ufeff"
 HYPHEN = re.compile(r"(\w)-[ \t]*\r?\n[ \t>|]*(\w)")
 
 
@@ -52,12 +53,32 @@ def fold(word: str) -> str:
     return w.replace("ae", "a").replace("oe", "o").replace("ue", "u")
 
 
-def words(text: str) -> list[str]:
+def unmarked(text: str) -> str:
     if "-\n" in text or "-\r\n" in text:
         text = HYPHEN.sub(r"\1\2", text)
-    if not PLAIN.isdisjoint(text):
+    if any(c in text for c in PLAIN):
         text = MARKUP.sub("", text)
-    return WORD.findall(text)
+    return text
+
+
+def words(text: str) -> list[str]:
+    return WORD.findall(unmarked(text))
+
+
+class Memo(dict):
+    """What a function gave; it is cleared at ``most`` entries, and keys longer than ``length`` aren't kept."""
+
+    def __init__(self, of: Callable, most: int, length: int = 40):
+        super().__init__()
+        self.of, self.most, self.length = of, most, length
+
+    def __missing__(self, key: str):
+        got = self.of(key)
+        if len(key) <= self.length:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = got
+        return got
 
 
 class Terms:
@@ -74,30 +95,33 @@ class Terms:
                 self.near.setdefault(w, k)
                 for p in range(len(w)):
                     self.near.setdefault(w[:p] + w[p + 1 :], k)
-        self.memo, self._seen = memo, {}
+        self.memo, self._seen, self._parts = memo, None, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_seen": None, "_parts": None}
 
     def __len__(self) -> int:
         return max(1, len(self.ids))
 
     def term(self, word: str) -> int:
-        got = self._seen.get(word)
-        if got is None:
-            w = fold(word)
-            got = self.ids.get(w, -1)
-            if got < 0 and len(w) >= 5 and w.isalpha():
-                got = self.near.get(w, -1)
-                for p in range(len(w) if got < 0 else 0):
-                    got = self.near.get(w[:p] + w[p + 1 :], -1)
-                    if got >= 0:
-                        break
-            if len(self._seen) >= self.memo:
-                self._seen.clear()
-            self._seen[word] = got
+        w = fold(word)
+        got = self.ids.get(w, -1)
+        if got < 0 and len(w) >= 5 and w.isalpha():
+            got = self.near.get(w, -1)
+            for p in range(len(w) if got < 0 else 0):
+                got = self.near.get(w[:p] + w[p + 1 :], -1)
+                if got >= 0:
+                    break
         return got
 
     def of(self, text: str | None) -> np.ndarray:
-        term = self.term
-        return np.fromiter((term(w) for w in words(text)), np.int32) if text else np.zeros(0, np.int32)
+        if not text:
+            return np.zeros(0, np.int32)
+        if self._parts is None:
+            self._seen = seen = Memo(self.term, self.memo)
+            self._parts = Memo(lambda part: tuple(map(seen.__getitem__, WORD.findall(part))), self.memo)
+        # no word holds white space, so what stands between is looked up as a whole
+        return np.fromiter(chain.from_iterable(map(self._parts.__getitem__, unmarked(text).split())), np.int32)
 
 
 def passages(ids: list[np.ndarray], weight: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -140,7 +164,7 @@ class Rows:
         self.row, self.term, self.value = row, term, value.astype(np.float32)
         self.starts = np.searchsorted(row, np.arange(self.n + 1))
 
-    def blocks(self, rows: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def blocks(self, rows: int = 128) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, terms that occur, dense rows over these): narrow however many terms there are."""
         for a in range(0, self.n, rows):
             lo, hi = self.starts[a], self.starts[min(a + rows, self.n)]
@@ -156,11 +180,11 @@ class Rows:
             out[a : a + len(m)] = m @ x[terms]
         return out
 
-    def turned_times(self, y: np.ndarray, n_terms: int) -> np.ndarray:
-        """The rows turned, times a matrix of rows x columns."""
-        out = np.zeros((n_terms, y.shape[1]), np.float64)
-        for a, terms, m in self.blocks():
-            out[terms] += m.T @ y[a : a + len(m)]
+    def turned_times(self, x: np.ndarray) -> np.ndarray:
+        """The rows turned, times the rows, times a matrix of terms x columns."""
+        out = np.zeros(x.shape, np.float64)
+        for _, terms, m in self.blocks():
+            out[terms] += m.T @ (m @ x[terms])
         return out
 
 
@@ -202,18 +226,45 @@ def dense_regions(doc: np.ndarray, inside: np.ndarray, width: int = 12, least: i
     A piece that scores 4 with one off for every word that differs holds such a place, so none is lost.
     """
     n = len(doc)
-    c = np.concatenate([[0], np.cumsum(inside)])
-    at = np.arange(n)
-    full = c[np.minimum(at + width, n)] - c[at] >= min(least, max(1, n // 2))
-    d = np.zeros(n + 1, np.int64)
-    hit = np.flatnonzero(full)
-    np.add.at(d, np.maximum(hit - width, 0), 1)
-    np.add.at(d, np.minimum(hit + 2 * width, n), -1)
-    keep = np.cumsum(d[:-1]) > 0
+    c = np.zeros(n + width + 1, np.int32)  # words of the item before each word, and beyond the end
+    np.cumsum(inside, out=c[1 : n + 1])
+    c[n + 1 :] = c[n]
+    full = c[width : width + n] - c[:n] >= min(least, max(1, n // 2))
+    # a word is kept where a full place begins in the 2 * width words up to it or in the width words after it
+    h = np.zeros(n + 3 * width, np.int32)
+    np.cumsum(full, out=h[2 * width : 2 * width + n])
+    h[2 * width + n :] = h[2 * width + n - 1]
+    keep = h[3 * width :] > h[:n]
     out = np.where(keep, doc, -2)
     return out[keep | np.concatenate([[False], keep[:-1]])]
 
 
+def stretches(good: np.ndarray, inside: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """(from, to) of the document's words that can lie in a piece that scores ``least``; no such piece is cut.
+
+    ``good`` says of neighbours whether they are the item's, too, ``inside`` of words whether the item has them. Of the L - 1
+    pairs of neighbours in a piece of L words, every one that isn't good takes a word of the item that is left out or a
+    word of the document that differs, which two pairs share at most; both words of two that the item hasn't differ. With u
+    that differ and v left out the score is L - 2u - v, so it is at most one more than the sum of 1 for each good pair less
+    1 for each pair of words that the item hasn't.
+    """
+    c = np.zeros(len(inside), np.int32)
+    np.cumsum(good.astype(np.int8) - ~(inside[:-1] | inside[1:]), out=c[1:])
+    best = np.maximum.accumulate(c[::-1])[::-1] - np.minimum.accumulate(c) + 1
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], best >= least, [False]])))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+
+
+def align_within(item: np.ndarray, doc: np.ndarray, parts: list[tuple[int, int]]) -> tuple[float, int, int, int, int, list[int]] | None:
+    """The best alignment with one of the document's parts; of equal ones that which ends first in the item, then in the document."""
+    best = None
+    for start, end in parts:
+        score, a, b, c, d, matches = align(item, doc[start:end])
+        if best is None or (score, -b) > (best[0], -best[2]):
+            best = score, a, b, c + start, d + start, matches
+    return best
+
+
 class Signs:
     """The items' neighbouring words, and which items have them; of items too short for a bound on those, their words.
 
@@ -263,12 +314,12 @@ class Signs:
 
 
 class Shape:
-    """What is asked of an item for every document: its words with their numbers, and its neighbours."""
+    """What is asked of an item for every document: its words with their numbers, and its neighbours by places of words."""
 
     def __init__(self, item: np.ndarray):
         self.item = item.astype(np.int64)
-        self.distinct, self.need = np.unique(self.item, return_counts=True)
-        pairs = self.item[:-1] * WIDE + self.item[1:]
+        self.distinct, self.places, self.need = np.unique(self.item, return_inverse=True, return_counts=True)
+        pairs = self.places[:-1] * len(self.distinct) + self.places[1:]
         self.pairs, self.times = np.unique(pairs, return_counts=True)
 
 
@@ -285,30 +336,38 @@ def held(item: np.ndarray | Shape, doc: np.ndarray, least: float = PARAPHRASE, w
     if not n or not len(doc):
         return 0.0, 0.0, 0.0, 0.0, 0
     at = np.minimum(np.searchsorted(distinct, doc), len(distinct) - 1)
-    doc = dense_regions(doc, distinct[at] == doc)
-    at = np.minimum(np.searchsorted(distinct, doc), len(distinct) - 1)
-    there = np.bincount(at[distinct[at] == doc], minlength=len(distinct))
+    own = np.where(distinct[at] == doc, at, -1)  # the item's words by their places in ``distinct``
+    doc = dense_regions(own, own >= 0)
+    inside = doc >= 0
+    there = np.bincount(doc[inside], minlength=len(distinct))
     if np.minimum(shape.need, there).sum() < least * n:
         return 0.0, 0.0, 0.0, 0.0, 0
     # m matches with e words off lie in at most e + 2 runs, so m - e - 2 of the item's neighbours are neighbours there
+    good = inside[:-1] & inside[1:]
     if len(shape.pairs):
-        have = doc[:-1] * WIDE + doc[1:]
+        both = np.flatnonzero(good)
+        have = doc[both] * len(distinct) + doc[both + 1]
         at = np.minimum(np.searchsorted(shape.pairs, have), len(shape.pairs) - 1)
+        same = shape.pairs[at] == have
         seen = np.zeros(len(shape.pairs), bool)
-        seen[at[shape.pairs[at] == have]] = True
+        seen[at[same]] = True
         if shape.times[seen].sum() < least * n - 2:
             return 0.0, 0.0, 0.0, 0.0, 0
-    score, a, b, c, d, matches = align(item, doc)
-    if 2 * score < least * n:  # a second piece never scores more
+        good[both] = same
+    else:
+        good[:] = False
+    first = align_within(shape.places, doc, stretches(good, inside, least * n / 2))
+    if first is None or 2 * first[0] < least * n:  # a second piece never scores more
         return 0.0, 0.0, 0.0, 0.0, 0
+    score, a, b, c, d, matches = first
     pieces = [(score, a, b, matches)]
     if score >= 0.15 * n:
-        rest = doc.copy()
-        rest[c:d] = -2
+        doc[c:d], inside[c:d], good[max(0, c - 1) : d] = -2, False, False
         others = []
-        for shift, x in ((0, item[:a]), (b, item[b:])):
-            if len(x) >= 4:
-                s2, a2, b2, _, _, m2 = align(x, rest)
+        parts = stretches(good, inside, 4)
+        for shift, x in ((0, shape.places[:a]), (b, shape.places[b:])):
+            if len(x) >= 4 and (got := align_within(x, doc, parts)):
+                s2, a2, b2, _, _, m2 = got
                 others.append((s2, a2 + shift, b2 + shift, [i + shift for i in m2]))
         second = max(others, key=lambda p: p[0], default=None)
         if second and second[0] >= 4:
@@ -411,11 +470,11 @@ def find_leaks(
 
     wide = min(dimensions + OVERSAMPLING, n_terms)
     omega = np.random.default_rng(seed).standard_normal((n_terms, wide)).astype(np.float32)
-    z, n_rows = summed(lambda m: m.turned_times(m.times(omega), n_terms), n_terms, wide)
+    z, n_rows = summed(lambda m: m.turned_times(omega), n_terms, wide)
     weigh = 4.0 * max(n_rows, 1) / max(len(has), 1)  # the items' share of the matrix stays the same at every size
-    q, _ = np.linalg.qr(z + weigh * item_rows.turned_times(item_rows.times(omega), n_terms))
+    q, _ = np.linalg.qr(z + weigh * item_rows.turned_times(omega))
     # with the basis of the first pass, one more power step on the items sharpens it at no cost
-    q, _ = np.linalg.qr(np.concatenate([q, item_rows.turned_times(item_rows.times(q.astype(np.float32)), n_terms)], axis=1)[:, : 2 * wide] if n_terms >= 2 * wide else q)
+    q, _ = np.linalg.qr(np.concatenate([q, item_rows.turned_times(q.astype(np.float32))], axis=1)[:, : 2 * wide] if n_terms >= 2 * wide else q)
     q = q[:, :wide].astype(np.float32)
     gram, _ = summed(lambda m: (y := m.times(q)).T @ y, q.shape[1], q.shape[1])
     y = item_rows.times(q).astype(np.float64)

@@ -108,3 +108,41 @@ def test_an_item_in_a_third_of_the_documents_is_found(spark):
     texts = [(d, f"{prose(rng, 50)} {ev[0][1]} {prose(rng, 50)}" if d % 3 == 0 else prose(rng, 100)) for d, _ in texts]
     got = {(r.doc_id, r.item_id, r.similarity > 0.5) for r in L.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(ev, "item_id long, text string, answer string")).where("kind = 'copy'").collect()}
     assert got == {(d, 0, True) for d, _ in texts if d % 3 == 0}
+
+
+def odd_case(rng):
+    """An item and a document that holds parts of it, changed a little, among words of its own and others."""
+    size = int(rng.integers(3, 40))
+    item, parts = rng.integers(0, size, int(rng.integers(1, 45))), []
+    for _ in range(int(rng.integers(1, 5))):
+        x = rng.integers(-1, size * int(rng.choice([1, 2, 6])), int(rng.integers(0, 120)))
+        a, b = np.sort(rng.integers(0, len(item) + 1, 2))
+        y = np.where(rng.random(b - a) < rng.choice([0, 0.1, 0.3]), -1, item[a:b])
+        parts += [np.where(x >= size, -1, x), y[rng.random(len(y)) > rng.choice([0, 0.1, 0.2])]]
+    return item.astype(np.int32), np.concatenate(parts).astype(np.int32), rng.random(size + 1).astype(np.float32)
+
+
+def test_stretches_give_what_whole_documents_give(monkeypatch):
+    rng = np.random.default_rng(4)
+    cases = [(*odd_case(rng), least) for least in (0.1, L.PARAPHRASE, L.NET, 0.6) for _ in range(150)]
+    got = [L.held(i, d, least, w) for i, d, w, least in cases]
+    monkeypatch.setattr(L, "stretches", lambda good, inside, least: [(0, len(inside))])
+    assert got == [L.held(i, d, least, w) for i, d, w, least in cases] and sum(r[0] > 0 for r in got) > 200
+
+
+def test_only_stretches_that_can_score_are_aligned(monkeypatch):
+    rng = np.random.default_rng(6)
+    item = np.arange(40)
+    near = [np.concatenate([item[k : k + 3], np.full(6, -1)]) for k in rng.integers(0, 38, 300)]  # three words on, then six others
+    cells, align = [], L.align
+    monkeypatch.setattr(L, "align", lambda i, d: cells.append(len(i) * len(d)) or align(i, d))
+    assert L.held(item, np.concatenate(near), L.NET) == (0.0, 0.0, 0.0, 0.0, 0)
+    assert L.held(item, np.concatenate([*near, item[:25], *near]), L.NET)[0] >= 0.6
+    assert sum(cells) < 40 * 200  # the second document has 5,425 words
+
+
+def test_words_looked_up_as_parts_are_the_same():
+    t = L.Terms([(1, "Der Zeuge O'Brien nannte 12,5 Prozent in Straße 7a/b", None)], memo=3)
+    texts = ["Zeuge,O'Brien nannte\x1c12,5", "der Zeug <b>Pro</b>zent--Strasse 7a/b", "x" * 90 + " Zeuge " + "x" * 90, " \n", "Pro-\nzent _in_ <", ""]
+    for _ in range(2):
+        assert [t.of(x).tolist() for x in texts] == [[t.term(w) for w in L.words(x)] for x in texts]
