@@ -598,3 +598,18 @@ def test_bm25_counts_passages_of_one_key_as_one(spark):
     n, average, tf, length = 5, 9 / 5, 2, 3  # rows; words by row; twice in three words
     assert rows[0].score == pytest.approx(np.log((n - 1 + 0.5) / 1.5) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average)))
     assert rows[1].score == pytest.approx(1e-6 * 3 * 2.2 / (3 + 1.2 * (0.25 + 0.75 * 5 / average)))
+
+
+def test_bm25_by_starts_of_words_shuffles_no_pairs(spark):
+    p, q = many_searches(spark, 2000, 300)
+    started = q.withColumn("terms", F.concat(F.slice("terms", 1, 2), F.array(F.lit("com"))))
+    assert shuffled(spark, lambda: KW.bm25(p, ["file_id"], started, "query_id", "terms", k=5, prefix=True).collect()) < 60_000
+
+
+def test_bm25_a_word_whole_and_as_a_start(spark):
+    p = spark.createDataFrame([(1, "rent", "x"), (2, "rental", "rents x"), (3, "re", "ren"), (4, "", "x re")], "file_id long, name string, text string")
+    q = spark.createDataFrame([(1, ["rent", "x"]), (2, ["x", "rent"]), (3, ["re"]), (4, ["ren", "re"]), (5, [])], "query_id int, terms array<string>")
+    got = {}
+    for r in KW.bm25(p, ["file_id"], q, "query_id", "terms", k=9, prefix=True).collect():
+        got.setdefault(r.query_id, set()).add(r.file_id)
+    assert got == {1: {1, 2, 4}, 2: {1, 2, 4}, 3: {3, 4}, 4: {3, 4}}
